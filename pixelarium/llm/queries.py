@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, packing, sharding
 
-_MODULES = [sharding]
+_MODULES = [mixing, packing, sharding]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
