@@ -6,6 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +76,20 @@ def unstage(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._staged_at)
 
 
+def map_arrow(df: DataFrame, run: Callable, shape) -> DataFrame:
+    """``df.mapInArrow`` after making sure that the workers can import this package."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="pixelarium-")) / "pixelarium.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, shape)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files nobody refers to any more."""
     gc.collect()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, simhash
+from . import mixing, packing, secrets, sharding, simhash, toxicity
 
-_MODULES = [mixing, packing, sharding, simhash]
+_MODULES = [mixing, packing, secrets, sharding, simhash, toxicity]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, stage
+from .common import connected_components, documents, map_arrow, stage
 
 THRESHOLD = 2
 CODE_LENGTH = 23
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             fps = np.array([simhash(t.as_py()) for t in batch.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")), run, "doc_id long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def links(fps: DataFrame, most_homes: int = MOST_HOMES) -> DataFrame:
     """Links among distinct fingerprints (column ``fp``) whose components are those
     of all pairs within the threshold."""
     spark = fps.sparkSession
-    rows = fps.mapInArrow(replicate, "anchor long, fp long, home boolean")
+    rows = map_arrow(fps, replicate, "anchor long, fp long, home boolean")
     crowded = stage(rows.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most_homes).select("anchor"), "crowded")
     n = crowded.count()
     more = None
@@ -226,7 +226,7 @@ def links(fps: DataFrame, most_homes: int = MOST_HOMES) -> DataFrame:
         more = midpoint_links(rows.join(table, "anchor", "left_semi").select("fp").distinct())
         rows = rows.join(table, "anchor", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", F.desc("home")).mapInArrow(compare, "a long, b long")
+    met = map_arrow(rows.repartition(parts, "anchor").sortWithinPartitions("anchor", F.desc("home")), compare, "a long, b long")
     return met.unionAll(more) if more is not None else met
 
 
