@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, secrets, sharding, simhash, toxicity
+from . import fingerprints, media, mixing, packing, secrets, sharding, simhash, toxicity
 
-_MODULES = [fingerprints, mixing, packing, secrets, sharding, simhash, toxicity]
+_MODULES = [fingerprints, media, mixing, packing, secrets, sharding, simhash, toxicity]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in _MODULES for name, q in m.ORACLE_SQL.items()}
