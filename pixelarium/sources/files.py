@@ -33,4 +33,4 @@ def write_json(spark: SparkSession, path: str, payload: dict) -> None:
 def read_json(spark: SparkSession, path: str) -> dict | None:
     if not exists(spark, path):
         return None
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
