@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests"), str(ROOT / "tests" / "llm")]
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 
 RING = [(121.5400, 29.8720), (121.5480, 29.8720), (121.5480, 29.8640), (121.5400, 29.8640), (121.5400, 29.8720)]
