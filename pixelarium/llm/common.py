@@ -74,6 +74,24 @@ def unstage(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._staged_at)
 
 
+def write_bucketed(df: DataFrame, keys: list[str], name: str, order: bool = True, **options) -> tuple[str, str]:
+    """(table, path): a table of the session's catalogue, bucketed (and sorted) by
+    keys in as many buckets as shuffles have partitions, below the shared folder.
+    Joins on the keys read it as it lies."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    writer = writer.sortBy(*keys) if order else writer
+    writer.options(**({"compression": "zstd"} | options)).option("path", path).format("parquet").saveAsTable(table)
+    return table, path
+
+
+def drop_table(spark: SparkSession, table: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_path(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files nobody refers to any more."""
     gc.collect()

@@ -1,27 +1,33 @@
 """Fuzzy line deduplication by MinHash, DataFrame operations only.
 
-Distinct lines get a MinHash signature over character shingles: the smallest
-hashes of the set (a bottom-k sketch). Bands are all triples of the sketch; two
-lines of similarity 0.8 share one with a probability of about 0.98. Lines that
-share a band are compared with pivots of the band, round by round, by the exact
-Jaccard similarity of their shingle sets; verified pairs are joined by distributed
-union-find, and each component keeps its first line.
+Distinct lines get a MinHash signature over character shingles: 18 minima of one
+shingle hash under 18 masks, gathered by a plain aggregate. Six bands of three
+values bring lines of similarity 0.8 together with a probability of 0.986. Lines that
+share a band are compared with pivots of the band, round by round: pairs whose
+signatures agree too little to be similar go at once, the others are verified by the
+exact Jaccard similarity of their shingle sets. Verified pairs are joined by
+distributed union-find, and each component keeps its first line.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, release, stage, unstage
+from .common import connected_components, documents, drop_table, release, stage, unstage, write_bucketed
 
 SHINGLE = 8
-SKETCH = 5
-BAND = 3
+BANDS, ROWS = 6, 3
 SIMILARITY = 0.8
+#: Equal signature values that a pair needs for its texts to be compared. A pair of
+#: similarity 0.8 has fewer with a probability of 0.004.
+AGREE = 10
 BLOCKS = (4096, 64)
+#: Lines of a band up to which all its pairs may be compared.
+SMALL = 32
+NULL_ID = (1 << 63) - 1
+#: 32-bit masks: the golden ratio's multiples, spread over the hash's range.
+MASKS = [((i + 1) * 0x9E3779B9 & 0xFFFFFFFF) - (1 << 31) for i in range(BANDS * ROWS)]
 
 
 def _blocks(text: Column, size: int) -> Column:
@@ -33,92 +39,163 @@ def _blocks(text: Column, size: int) -> Column:
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of all character shingles, repeats included; a line shorter than a
-    shingle is one shingle."""
+    """32-bit hashes of all character shingles, repeats included; a line shorter
+    than a shingle is one shingle."""
 
     def inner(block: Column) -> Column:
         n = F.greatest(F.char_length(block) - (SHINGLE - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(block, i, F.lit(SHINGLE))))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.hash(F.substring(block, i, F.lit(SHINGLE))))
 
     coarse = F.flatten(F.transform(_blocks(line, BLOCKS[0]), lambda b: _blocks(b, BLOCKS[1])))
     return F.flatten(F.transform(coarse, inner))
 
 
-def bands(sketch: Column) -> Column:
-    """Hashes of all triples of a sketch; of the whole sketch where it is smaller."""
-    triples = list(combinations(range(SKETCH), BAND))
-    hashed = [F.xxhash64(*[F.get(sketch, F.lit(i)) for i in t]) for t in triples]
-    return F.array_compact(F.array(hashed[0], *[F.when(F.size(sketch) > t[-1], h) for t, h in zip(triples[1:], hashed[1:], strict=True)]))
-
-
 def split_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line, a, b``: the lines that are not blank, with two
-    hashes that together name the text."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(r"line RLIKE '\\S'")
+    """``d, line_no, line, a, b``: the lines that are not blank, with two hashes
+    that together name the text; d is the doc_id, null ids last."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
+    lines = docs.select(own, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(r"line RLIKE '\\S'")
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), "line")})
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of distinct pairs (id, p) those whose lines' shingle sets are similar."""
-    text = lines.select("id", "line")
-    both = pairs.join(text, "id").join(text.select(F.col("id").alias("p"), F.col("line").alias("other")), "p")
-    sets = both.select("id", "p", F.array_distinct(shingle_hashes(F.col("line"))).alias("x"), F.array_distinct(shingle_hashes(F.col("other"))).alias("y"))
-    shared = sets.select("id", "p", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return shared.where(F.col("both") >= SIMILARITY * (F.col("n") - F.col("both"))).select("id", "p")
+def signatures(lines: DataFrame) -> DataFrame:
+    """``a, b, d, sig``: one row per distinct line, with its first document and its
+    signature. Characters are laid out in two bytes each (rare ones in four), so that
+    a shingle is cut out of a line at no cost of its length; every aggregate is a
+    minimum of numbers and is combined in the task that reads the text."""
+    laid = lines.select("a", "b", "d", F.encode("line", "UTF-16BE").alias("bytes"))
+    number = F.greatest(F.expr("octet_length(bytes) div 2").cast("int") - (SHINGLE - 1), F.lit(1))
+    at = laid.select("a", "b", "d", "bytes", F.explode(F.sequence(F.lit(0), number - 1)).alias("i"))
+    hashed = at.select("a", "b", "d", F.hash(F.expr(f"substring(bytes, i * 2 + 1, {2 * SHINGLE})")).alias("h"))
+    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
+    each = hashed.groupBy("a", "b").agg(F.min("d").alias("d"), *mins)
+    return each.select("a", "b", "d", F.array(*[f"m{i}" for i in range(len(MASKS))]).alias("sig"))
+
+
+def bands(sig: Column) -> Column:
+    """A hash for each band of a signature, its place included."""
+    return F.array(*[F.xxhash64(F.lit(i), *[sig[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)])
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, line`` of wanted lines (id, a, b, d): only the documents that hold one
+    are opened, and only their wanted lines leave."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    needs = wanted.groupBy("d").agg(F.collect_list(F.struct("a", "b", "id")).alias("needs"))
+    opened = docs.select(own.alias("d"), "text").join(needs, "d")
+    found = opened.select("needs", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    named = found.withColumn("hit", F.filter("needs", lambda x: (x["a"] == F.xxhash64("line")) & (x["b"] == F.xxhash64(F.lit(7), "line"))))
+    # rows that share a doc_id may each hold the line
+    return named.where(F.size("hit") > 0).select(F.col("hit")[0]["id"].alias("id"), "line").dropDuplicates(["id"])
+
+
+class ShingleSets:
+    """The shingle sets of wanted lines (id, a, b, d): each is made once, however
+    many pairs ask for it, and lies bucketed by id."""
+
+    def __init__(self, docs: DataFrame, wanted: DataFrame):
+        self.spark = docs.sparkSession
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sets = line_texts(docs, wanted).repartition(parts, "id").select("id", F.array_distinct(shingle_hashes(F.col("line"))).alias("set"))
+        self.table, self.path = write_bucketed(sets, ["id"], "sets")
+        release(self.spark)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        drop_table(self.spark, self.table, self.path)
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """Verified links (id, p) among ``lines`` (id, line, sketch).
 
-    Each round names pivots in every band, compares the band's other lines with
-    them and lets those go that are linked; the others meet new pivots, twice as
-    many, until no band has two lines left. No band is capped.
+def likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of distinct pairs (id, p) those whose signatures agree enough, staged."""
+    both = pairs.join(lines.select("id", "sig"), "id").join(lines.select(F.col("id").alias("p"), F.col("sig").alias("other")), "p")
+    same = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x == y), lambda e: e))
+    return stage(both.where(same >= AGREE).select("id", "p"), "likely")
+
+
+def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
+    """Of distinct pairs (id, p) those whose lines are similar by the exact Jaccard
+    similarity of their shingle sets, staged."""
+    y = sets.read().select(F.col("id").alias("p"), F.col("set").alias("y"))
+    read = pairs.join(sets.read().select("id", F.col("set").alias("x")), "id").join(y, "p")
+    shared = read.select("id", "p", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return stage(shared.where(F.col("both") >= SIMILARITY * (F.col("n") - F.col("both"))).select("id", "p"), "links")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of (id, p) rows."""
+    return rows.where("id != p").select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("id").unionAll(pairs.select("p"))
+
+
+def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (id, p) among ``lines`` (id, a, b, d, sig), whose texts are
+    in ``docs``.
+
+    At first every line of a band is compared with one pivot, the band's least id,
+    and let go if they are linked. In a band of up to ``SMALL`` lines each line that
+    is left is compared with all the others. In larger ones the lines left meet new
+    pivots, round by round, eight times as many each time, until no band has two of
+    them. No band is capped; the documents are opened twice, for the sets that the
+    first comparison needs and for those that the rest needs.
     """
-    found = None
-    rows = lines.select("id", F.explode(F.array_distinct(bands(F.col("sketch")))).alias("band"))
-    most, staged = 1, []
-    while True:
-        slot = F.pmod(F.xxhash64("id", "band"), F.lit(most))
-        if most == 1:
-            pivots = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-            pivots = pivots.where("n > 1").select("band", F.array_distinct(F.array("low", "high")).alias("ps"), "n")
-        else:
-            pivots = rows.groupBy("band", slot.alias("slot")).agg(F.min("id").alias("low"), F.count("*").alias("n"))
-            pivots = pivots.groupBy("band").agg(F.collect_list("low").alias("ps"), F.sum("n").alias("n")).where("n > 1")
-        shared = stage(rows.join(pivots, "band"), "bands")
-        staged.append(shared)
-        pairs = shared.select("id", F.explode("ps").alias("p")).where("id != p")
-        pairs = pairs.select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p")).distinct()
-        links = stage(verified(pairs, lines), "links")
-        found = links if found is None else found.unionAll(links)
-        # Bands of three and fewer have had all their pairs compared.
-        open_ = shared.where(F.col("n") > F.size("ps") + 1).where(~F.array_contains("ps", F.col("id")))
-        tried = open_.select("band", "id", F.explode("ps").alias("p"))
-        hit = tried.join(links.unionAll(links.select(F.col("p").alias("id"), F.col("id").alias("p"))), ["id", "p"], "left_semi")
-        rest = stage(open_.select("band", "id").join(hit.select("band", "id").distinct(), ["band", "id"], "left_anti"), "open")
-        left = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if len(staged) > 1:
-            unstage(staged.pop(0))
-        if not left:
-            return found
-        rows, most = rest, 2 * most if most > 1 else 4
+    spark = docs.sparkSession
+    names = lines.select("id", "a", "b", "d")
+    rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    pivots = rows.groupBy("band").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(rows.join(pivots, "band"), "bands")
+    release(spark)
+    first = likely(_pairs(shared.select("id", "p")), lines)
+    sets = ShingleSets(docs, names.join(_ends(first).distinct(), "id", "left_semi"))
+    found = verified(first, sets)
+    sets.drop()
+    release(spark)
+
+    # A pivot and one other line are all there is in a band of two.
+    tried = shared.where("n > 2 AND id != p").select("band", "id", "p", "n")
+    rest = stage(tried.join(_both_ways(found), ["id", "p"], "left_anti").select("band", "id", "n"), "open")
+    few = shared.where(F.col("n") <= SMALL).select("band", F.col("id").alias("p"))
+    near = likely(_pairs(rest.where(F.col("n") <= SMALL).select("band", "id").join(few, "band").select("id", "p")), lines)
+    rest = stage(rest.where(F.col("n") > SMALL).select("band", "id"), "open")
+    unstage(shared)
+    sets = ShingleSets(docs, names.join(_ends(near).unionAll(rest.select("id")).distinct(), "id", "left_semi"))
+    found = found.unionAll(verified(near, sets))
+    most = 8
+    while rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        slots = rest.groupBy("band", F.pmod(F.xxhash64("id", "band"), F.lit(most)).alias("slot")).agg(F.min("id").alias("low"))
+        met = stage(rest.join(slots.groupBy("band").agg(F.collect_list("low").alias("ps")), "band"), "met")
+        tried = met.where(~F.array_contains("ps", F.col("id"))).select("band", "id", F.explode("ps").alias("p"))
+        links = verified(likely(_pairs(met.select("id", F.explode("ps").alias("p"))), lines), sets)
+        found = found.unionAll(links)
+        hit = tried.join(_both_ways(links), ["id", "p"], "left_semi").select("band", "id").distinct()
+        rest = stage(tried.select("band", "id").distinct().join(hit, ["band", "id"], "left_anti"), "open")
+        unstage(met)
+        release(spark)
+        most *= 8
+    sets.drop()
+    return found
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionAll(links.select(F.col("p").alias("id"), F.col("id").alias("p")))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """``a, b, first``: for each distinct line (by its two hashes) the place
-    (doc_id, line_no) of the first line of its component."""
-    lines = split_lines(docs)
-    each = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
-    sketch = F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("line")))), 1, SKETCH)
-    distinct = stage(each.withColumns({"id": F.monotonically_increasing_id(), "sketch": sketch}), "lines")
+    """``a, b, root, first``: for each distinct line (by its two hashes) its class
+    and the first document that has a line of it."""
+    distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
     release(docs.sparkSession)
-    tree = connected_components(similar_lines(distinct), "id", "p")
-    named = distinct.select("id", "a", "b", "first").join(tree, distinct.id == tree.node, "left").withColumn("root", F.coalesce("component", "id"))
-    linked = stage(named.select("root", "a", "b", "first"), "line-classes")
+    tree = connected_components(similar_lines(distinct, docs), "id", "p")
+    named = distinct.select("id", "a", "b", "d").join(tree, distinct.id == tree.node, "left").withColumn("root", F.coalesce("component", "id"))
+    linked = stage(named.select("root", "a", "b", "d"), "line-classes")
     unstage(distinct)
     release(docs.sparkSession)
-    firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
-    return linked.join(firsts, "root").select("a", "b", F.col("least").alias("first"))
+    firsts = linked.groupBy("root").agg(F.min("d").alias("first"))
+    return linked.join(firsts, "root").select("a", "b", "root", "first")
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
@@ -128,21 +205,27 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     Adds ``n_lines`` and ``n_removed`` (longs; columns so named are replaced).
     Blank lines are never removed; null texts stay null, empty ones empty, and a
     text may become empty. No document is dropped. Rows that share a doc_id (null
-    is one) count as one document: a line at the same place of each is one line.
-    An empty table gives no rows.
+    is one, and comes last) count as one document: a line at the same place of each
+    is one line. An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_removed")
-    classes = stage(line_classes(docs.select("doc_id", "text")), "line-firsts")
-    places = split_lines(docs.select("doc_id", "text")).select("doc_id", "line_no", "a", "b").join(classes, ["a", "b"])
-    later = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no")))
-    gone = places.where(later).groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__of")), "left")
+    texts = docs.select("doc_id", "text")
+    classes = stage(line_classes(texts), "line-firsts")
+    places = stage(split_lines(texts).select("d", "line_no", "a", "b").join(classes, ["a", "b"]).select("d", "line_no", "root", "first"), "line-places")
+    release(docs.sparkSession)
+    own = places.where("first = d").groupBy("d", "root").agg(F.min("line_no").alias("keep"))
+    later = places.where("first != d").select("d", "line_no").unionAll(
+        places.where("first = d").join(own, ["d", "root"]).where("line_no != keep").select("d", "line_no")
+    )
+    gone = later.groupBy(F.col("d").alias("__d")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__d"), "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns(
-        {"n_lines": F.coalesce(F.size(parts).cast("long"), F.lit(0)), "n_removed": F.coalesce(F.size("__gone").cast("long"), F.lit(0)), "text": text}
-    ).drop("__of", "__gone")
+    removed = F.size(F.filter("__gone", lambda i: i < F.size(parts))).cast("long")
+    counted = joined.withColumns({"n_lines": F.coalesce(F.size(parts).cast("long"), F.lit(0)), "n_removed": F.coalesce(removed, F.lit(0))})
+    # apart from the counts: a lambda would read the column's new text
+    return counted.withColumn("text", text).drop("__d", "__gone")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
