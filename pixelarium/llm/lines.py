@@ -138,16 +138,17 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
     At first every line of a band is compared with one pivot, the band's least id,
     and let go if they are linked. In a band of up to ``SMALL`` lines each line that
-    is left is compared with all the others. In larger ones the lines left meet new
-    pivots, round by round, eight times as many each time, until no band has two of
-    them. No band is capped; the documents are opened twice, for the sets that the
-    first comparison needs and for those that the rest needs.
+    is left is compared with all the others. What is left of larger bands meets
+    again where a second band agrees, too, in the same way, and at last where the
+    whole signature does, until no line is left. So a line is compared with a
+    bounded number of others at each step, however large its bands are. The
+    documents are opened twice, for the sets of the first comparison and for those
+    of all the others.
     """
     spark = docs.sparkSession
     names = lines.select("id", "a", "b", "d")
     rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    pivots = rows.groupBy("band").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(rows.join(pivots, "band"), "bands")
+    shared = _with_pivots(rows)
     release(spark)
     first = likely(_pairs(shared.select("id", "p")), lines)
     sets = ShingleSets(docs, names.join(_ends(first).distinct(), "id", "left_semi"))
@@ -155,31 +156,39 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     sets.drop()
     release(spark)
 
-    # A pivot and one other line are all there is in a band of two.
-    tried = shared.where("n > 2 AND id != p").select("band", "id", "p", "n")
-    rest = stage(tried.join(_both_ways(found), ["id", "p"], "left_anti").select("band", "id", "n"), "open")
-    few = shared.where(F.col("n") <= SMALL).select("band", F.col("id").alias("p"))
-    near = likely(_pairs(rest.where(F.col("n") <= SMALL).select("band", "id").join(few, "band").select("id", "p")), lines)
-    rest = stage(rest.where(F.col("n") > SMALL).select("band", "id"), "open")
-    unstage(shared)
+    near, rest = _left_over(shared, found, lines)
     sets = ShingleSets(docs, names.join(_ends(near).unionAll(rest.select("id")).distinct(), "id", "left_semi"))
     found = found.unionAll(verified(near, sets))
-    most = 8
-    while rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        slots = rest.groupBy("band", F.pmod(F.xxhash64("id", "band"), F.lit(most)).alias("slot")).agg(F.min("id").alias("low"))
-        met = stage(rest.join(slots.groupBy("band").agg(F.collect_list("low").alias("ps")), "band"), "met")
-        tried = met.where(~F.array_contains("ps", F.col("id"))).select("band", "id", F.explode("ps").alias("p"))
-        links = verified(likely(_pairs(met.select("id", F.explode("ps").alias("p"))), lines), sets)
-        found = found.unionAll(links)
-        hit = tried.join(_both_ways(links), ["id", "p"], "left_semi").select("band", "id").distinct()
-        rest = stage(tried.select("band", "id").distinct().join(hit, ["band", "id"], "left_anti"), "open")
-        unstage(met)
+    finer = [lambda band, sig: F.transform(F.filter(bands(sig), lambda x: x != band), lambda x: F.xxhash64(band, x)), lambda band, sig: F.array(F.xxhash64(sig))]
+    while rest.limit(1).count():
+        split = finer.pop(0) if len(finer) > 1 else finer[0]
+        rows = rest.join(lines.select("id", "sig"), "id").select("id", F.explode(split(F.col("band"), F.col("sig"))).alias("band")).distinct()
+        shared = _with_pivots(rows)
+        links = verified(likely(_pairs(shared.select("id", "p")), lines), sets)
+        near, rest = _left_over(shared, links, lines)
+        found = found.unionAll(links).unionAll(verified(near, sets))
         release(spark)
-        most *= 8
     sets.drop()
     return found
 
 
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """(band, id) rows of bands of two and more, with the pivot p and the number n."""
+    pivots = rows.groupBy("band").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1")
+    return stage(rows.join(pivots, "band"), "bands")
+
+
+def _left_over(shared: DataFrame, links: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(likely pairs, rows): of the rows not linked to their pivot, all pairs of
+    those in small bands with any of the band, and the (band, id) in large ones."""
+    tried = shared.where("n > 2 AND id != p").select("band", "id", "p", "n")
+    rest = stage(tried.join(_both_ways(links), ["id", "p"], "left_anti").select("band", "id", "n"), "open")
+    few = shared.where(F.col("n") <= SMALL).select("band", F.col("id").alias("p"))
+    near = likely(_pairs(rest.where(F.col("n") <= SMALL).select("band", "id").join(few, "band").select("id", "p")), lines)
+    unstage(shared)
+    return near, rest.where(F.col("n") > SMALL).select("band", "id")
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.unionAll(links.select(F.col("p").alias("id"), F.col("id").alias("p")))
 
