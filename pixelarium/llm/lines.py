@@ -5,8 +5,10 @@ shingle hash under 18 masks, gathered by a plain aggregate. Six bands of three
 values bring lines of similarity 0.8 together with a probability of 0.986. Lines that
 share a band are compared with pivots of the band, round by round: pairs whose
 signatures agree too little to be similar go at once, the others are verified by the
-exact Jaccard similarity of their shingle sets. Verified pairs are joined by
-distributed union-find, and each component keeps its first line.
+exact Jaccard similarity of their shingle sets. Lines of crowded bands that are not yet
+joined meet by a prefix of their shingles, rarest first, which misses no similar pair.
+Verified pairs are joined by distributed union-find, and each component keeps its first
+line.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ AGREE = 10
 BLOCKS = (4096, 64)
 #: Lines of a band up to which all its pairs may be compared.
 SMALL = 32
+#: Words of 64 parity bits by which lines of crowded bands are told apart.
+PARITIES = 8
 NULL_ID = (1 << 63) - 1
 #: 32-bit masks: the golden ratio's multiples, spread over the hash's range.
 MASKS = [((i + 1) * 0x9E3779B9 & 0xFFFFFFFF) - (1 << 31) for i in range(BANDS * ROWS)]
@@ -140,10 +144,11 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     and let go if they are linked. In a band of up to ``SMALL`` lines each line that
     is left is compared with all the others. What is left of larger bands meets
     again where a second band agrees, too, in the same way, and at last where the
-    whole signature does, until no line is left. So a line is compared with a
-    bounded number of others at each step, however large its bands are. The
-    documents are opened twice, for the sets of the first comparison and for those
-    of all the others.
+    whole signature does, until no line is left. That joins families of many copies
+    at a bounded number of comparisons a line, but not all that is similar; so all
+    lines of large bands, linked or not, meet once more in ``crowded``, which is exact.
+    The documents are opened twice, for the sets of the first comparison and for
+    those of all the others.
     """
     spark = docs.sparkSession
     names = lines.select("id", "a", "b", "d")
@@ -156,8 +161,9 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     sets.drop()
     release(spark)
 
+    crowd = stage(shared.where(F.col("n") > SMALL).select("id").distinct(), "crowd")
     near, rest = _left_over(shared, found, lines)
-    sets = ShingleSets(docs, names.join(_ends(near).unionAll(rest.select("id")).distinct(), "id", "left_semi"))
+    sets = ShingleSets(docs, names.join(_ends(near).unionAll(crowd).distinct(), "id", "left_semi"))
     found = found.unionAll(verified(near, sets))
     finer = [lambda band, sig: F.transform(F.filter(bands(sig), lambda x: x != band), lambda x: F.xxhash64(band, x)), lambda band, sig: F.array(F.xxhash64(sig))]
     while rest.limit(1).count():
@@ -168,10 +174,57 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
         near, rest = _left_over(shared, links, lines)
         found = found.unionAll(links).unionAll(verified(near, sets))
         release(spark)
+    if crowd.limit(1).count():
+        found = found.unionAll(verified(crowded(crowd, found, sets), sets))
+    unstage(crowd)
     sets.drop()
     return found
 
 
+def crowded(crowd: DataFrame, found: DataFrame, sets: ShingleSets) -> DataFrame:
+    """Distinct pairs (id, p) among the lines of ``crowd`` (id) that may be similar
+    and that the links in ``found`` have not joined yet, staged. None is missed.
+
+    A line of n shingles shares 0.8 n of them at least with any similar line, so if
+    both order their shingles alike (rarest first), they share one of the first
+    n - 0.8 n + 1. Lines that share such a shingle are paired if they are of two
+    components and nothing rules it out: their sizes, the places of the shingle, after
+    which too few may be left, or the bits in which their parities differ, which are
+    never more than the shingles that only one of them has. The lines of a shingle's
+    commonest component are never paired with each other, so a family of copies costs
+    its size only.
+    """
+    slack = 1e-6
+    tree = connected_components(found, "id", "p")
+    known = crowd.join(tree, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
+    all_of = stage(known.join(sets.read(), "id").select("id", "c", F.size("set").alias("n"), F.explode("set").alias("h")), "shingles")
+    often = all_of.groupBy("h").agg(F.count("*").alias("often"))
+    bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 8) & 63)")
+    parity = [F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(PARITIES)]
+    ordered = all_of.join(often, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"), *parity)
+    length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1
+    words = [f"b{i}" for i in range(PARITIES)]
+    prefix = ordered.select("id", "c", "n", *words, F.posexplode(F.slice("hs", 1, length)).alias("at", "e"))
+    heads = stage(prefix.where("e.often > 1").select("id", "c", "n", *words, "at", F.col("e.h").alias("h")), "heads")
+    unstage(all_of)
+    held = heads.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
+    split = stage(heads.join(held.where("kinds > 1").select("h", "main"), "h"), "split-heads")
+    x = split.where("c != main")
+    y = split.select("h", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), *[F.col(w).alias(f"p{w}") for w in words])
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words), F.lit(0))
+    size = F.col("n") + F.col("pn")
+    met = (
+        (x.h == y.h) & (F.col("c") != F.col("pc")) & ((F.col("pc") == F.col("main")) | (F.col("id") < F.col("p")))
+        & (F.least("n", "pn") >= SIMILARITY * F.greatest("n", "pn") - slack)
+        & (F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= SIMILARITY / (1 + SIMILARITY) * size - slack)
+        & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * size + slack)
+    )
+    pairs = stage(_pairs(x.join(y, met).select("id", "p")), "crowded")
+    unstage(heads)
+    unstage(split)
+    return pairs
+
+
 def _with_pivots(rows: DataFrame) -> DataFrame:
     """(band, id) rows of bands of two and more, with the pivot p and the number n."""
     pivots = rows.groupBy("band").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1")

@@ -7,10 +7,11 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpus import corpus, frame, saved
 from pixelarium.llm import lines, simhash, substrings
-from pixelarium.llm.common import connected_components
+from pixelarium.llm.common import connected_components, stage
 
 
 def brute_windows(rows):
@@ -238,3 +239,28 @@ def test_components(spark):
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 
+
+
+def test_lines_large_band_around_a_pivot(spark):
+    """Lines similar to others of a crowded band, but not to its pivot, are found."""
+    rng = random.Random(4)
+    shared = "".join(rng.choices("abcdefgh", k=150))
+    texts = []
+    for _ in range(60):
+        own = shared + "".join(rng.choices("ijklmnop", k=26))
+        texts += [own, own[:-14] + "".join(rng.choices("qrstuvwx", k=14))]
+    rng.shuffle(texts)
+    rows = [(i, x, "", "", 0) for i, x in enumerate(texts)]
+    distinct = lines.signatures(lines.split_lines(frame(spark, rows))).withColumn("id", F.monotonically_increasing_id())
+    distinct = stage(distinct, "test-lines")
+    number = {r.id: r.d for r in distinct.collect()}
+    crowd = {}
+    for r in distinct.select("id", F.explode(lines.bands(F.col("sig"))).alias("band")).collect():
+        crowd.setdefault(r.band, set()).add(number[r.id])
+    links = connected_components(lines.similar_lines(distinct, frame(spark, rows)), "id", "p").collect()
+    root = {number[r.node]: r.component for r in links} | {number[r.component]: r.component for r in links}
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in texts]
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    pairs = {(x, y) for b in crowd.values() if len(b) > lines.SMALL for x in b for y in b if x < y and alike(x, y)}
+    assert len(pairs) > 10
+    assert all(root.get(x, -1) == root.get(y, -2) for x, y in pairs)
