@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD, documents, stage
 
 HASH_BITS, DIGIT_BITS = 48, 8
+#: Offsets looked for in one query, each with 256 sums at most; more take more queries.
+ASKED = 2000
 NULL_SOURCE, SEP = "~", "\u0001"
 
 
@@ -108,6 +110,24 @@ def min_cost_flow(supply: dict[tuple, int], quotas: dict[str, int], max_copies:
     return out
 
 
+def route(supply: dict[tuple, int], quotas: dict[str, int], max_copies: int, max_patterns: int) -> dict[tuple, dict[str, int]]:
+    """The least-cost flow, by the network only for patterns that share a source
+    with others: a source's only pattern, if it has no other source, sends all that
+    its quota takes."""
+    uses: dict[str, int] = {}
+    for pattern in supply:
+        for source in pattern:
+            uses[source] = uses.get(source, 0) + 1
+    alone = {p for p in supply if len(p) == 1 and uses[p[0]] == 1}
+    rest = {p: words for p, words in supply.items() if p not in alone}
+    if len(rest) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns that share sources")
+    shared = {s for p in rest for s in p}
+    routed = min_cost_flow(rest, {s: q for s, q in quotas.items() if s in shared}, max_copies)
+    sent = {p: min(quotas.get(p[0], 0), supply[p] * max_copies) for p in alone}
+    return {p: ({p[0]: sent[p]} if sent[p] else {}) if p in alone else routed[p] for p in supply}
+
+
 def _cuts(drawn: DataFrame, wanted: dict[str, set[int]], sizes: dict[str, int]) -> dict[tuple[str, int], int]:
     """For each pattern and offset, the hash below which its documents hold about
     that many words: a radix search over sums, one byte of the hash a round, that
@@ -119,8 +139,7 @@ def _cuts(drawn: DataFrame, wanted: dict[str, set[int]], sizes: dict[str, int])
     for done in range(0, HASH_BITS, DIGIT_BITS):
         if not open_:
             break
-        asked = sorted({(p, prefix) for (p, _), (prefix, _) in open_.items()})
-        ask = F.broadcast(spark.createDataFrame(asked, "pattern string, prefix long"))
+        every = sorted({(p, prefix) for (p, _), (prefix, _) in open_.items()})
         digits = drawn.withColumns(
             {
                 "prefix": F.shiftright("h", HASH_BITS - done),
@@ -128,8 +147,10 @@ def _cuts(drawn: DataFrame, wanted: dict[str, set[int]], sizes: dict[str, int])
             }
         )
         sums: dict = {}
-        for r in digits.join(ask, ["pattern", "prefix"]).groupBy("pattern", "prefix", "digit").agg(F.sum("size").alias("s")).collect():
-            sums.setdefault((r.pattern, r.prefix), []).append((r.digit, r.s))
+        for at in range(0, len(every), ASKED):
+            ask = F.broadcast(spark.createDataFrame(every[at : at + ASKED], "pattern string, prefix long"))
+            for r in digits.join(ask, ["pattern", "prefix"]).groupBy("pattern", "prefix", "digit").agg(F.sum("size").alias("s")).collect():
+                sums.setdefault((r.pattern, r.prefix), []).append((r.digit, r.s))
         for at, (prefix, rest) in open_.items():
             for digit, s in sorted(sums[at[0], prefix]):
                 if rest < s:
@@ -170,9 +191,7 @@ def mix(
         }
     )
     drawn = stage(tagged.select(F.col("__pattern").alias("pattern"), F.col(size).cast("long").alias("size"), F.col("__h").alias("h")), "mix")
-    rows = drawn.groupBy("pattern").agg(F.sum("size").alias("s")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    rows = drawn.groupBy("pattern").agg(F.sum("size").alias("s")).collect()  # one row per pattern
     supply = {tuple(r.pattern.split(SEP)): r.s or 0 for r in rows if r.pattern}
     label = SEP.join
     source_sizes: dict[str, int] = {}
@@ -181,7 +200,7 @@ def mix(
             source_sizes[source] = source_sizes.get(source, 0) + s
     plain = lambda s: None if s == NULL_SOURCE else s[1:]
     wanted = quotas(source_sizes, sum(r.s or 0 for r in rows))
-    flow = min_cost_flow(supply, {s: round(q) for s, q in sorted(wanted.items())}, max_copies)
+    flow = route(supply, {s: round(q) for s, q in sorted(wanted.items())}, max_copies, max_patterns)
 
     ranges: dict[str, list] = {}
     for pattern, sent in flow.items():
@@ -200,7 +219,7 @@ def mix(
         for p in (label(t) for t in supply)
     ]
     shape = "__pattern string, __ranges array<struct<copy:int,lo:long,hi:long,source:string>>"
-    # at most max_patterns rows
+    # one row per pattern
     table = F.broadcast(df.sparkSession.createDataFrame(plan, shape))
     hit = F.filter("__ranges", lambda r: (r.lo <= F.col("__h")) & (F.col("__h") < r.hi))
     copies = F.transform(hit, lambda r: F.struct(r.copy.alias("copy"), r.source.alias("source")))

@@ -336,3 +336,18 @@ def test_overlapping_sources(spark):
     assert mixing.mix(df.limit(0), members="members", size="size", quotas=lambda s, t: {}).count() == 0
     with pytest.raises(ValueError, match="patterns"):
         mixing.mix(df, members="members", size="size", quotas=lambda s, t: {}, max_patterns=1)
+
+
+def test_mix_more_sources_than_patterns_allowed(spark):
+    rows = [(i, [f"s{i % 30:02d}"], 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, members array<string>, size long")
+    got = mixing.mix(df, members="members", size="size", quotas=lambda s, t: {x: n * 1.5 for x, n in s.items()}, max_patterns=5).collect()
+    assert len(got) == 300
+    for k in range(30):
+        assert abs(sum(10 * len(r.copies) for r in got if r.members == [f"s{k:02d}"]) - 150) <= 10
+
+
+def test_route_equals_the_network():
+    supply = {("=a",): 50, ("=b",): 70, ("=b", "=c"): 30, ("=d",): 0, ("=e",): 9}
+    quotas = {"=a": 75, "=b": 90, "=c": 40, "=d": 0, "=e": 30}
+    assert mixing.route(supply, quotas, 2, 2) == mixing.min_cost_flow(supply, quotas, 2)
