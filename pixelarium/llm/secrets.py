@@ -1,8 +1,8 @@
 """Secret scanning: fixed patterns, plus character Markov models.
 
 Two first-order Markov models over characters, one of random strings and one of
-ordinary identifiers and words, are trained from labelled samples: what the fixed
-patterns find (random), everything else of the sampled documents (ordinary), and
+ordinary identifiers and words, are trained: on what the fixed patterns find
+(random), everything else of all documents (ordinary), and
 seeded draws from the usual secret alphabets (random), so that a corpus without
 secrets still trains a model. A token's log-likelihood ratio decides.
 """
@@ -72,12 +72,10 @@ def random_counts(number: int = 4000, seed: int = 11) -> Counter:
     return out
 
 
-def sample_counts(docs: DataFrame, sample: int, seed: int) -> tuple[Counter, Counter]:
-    """Pairs of characters (random, ordinary) in ``sample`` documents chosen by a
-    seeded hash. At most 2 x 69 x 69 sums reach the driver."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids
-    chosen = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select(F.col("text").cast("string"))
+def corpus_counts(docs: DataFrame) -> tuple[Counter, Counter]:
+    """Pairs of characters (random, ordinary) in all documents. At most 2 x 69 x 69
+    sums reach the driver."""
+    chosen = docs.select(F.col("text").cast("string"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -114,15 +112,15 @@ def ratio_table(random_pairs: Counter, ordinary_pairs: Counter, smooth: float =
     return table
 
 
-def train(docs: DataFrame, sample: int = 4000, seed: int = 5) -> list[list[float]]:
-    found, ordinary = sample_counts(docs, sample, seed)
+def train(docs: DataFrame) -> list[list[float]]:
+    found, ordinary = corpus_counts(docs)
     return ratio_table(random_counts() + found, ordinary)
 
 
 def looks_random(token: str, table: list[list[float]]) -> bool:
-    """Digits alone (numbers, cards) and letters of one case alone (words) are
-    ordinary by definition; the ratio decides on the rest."""
-    if token.isdigit() or (token.isalpha() and (token.islower() or token.isupper() or token.istitle())):
+    """Digits alone (numbers, cards) and capitalized words are ordinary by
+    definition; the ratio decides on the rest."""
+    if token.isdigit() or (token.isalpha() and token.istitle()):
         return False
     ratio = sum(table[a][b] for a, b in _pairs(token))
     return ratio > PRIOR and ratio > PER_CHAR * len(token)

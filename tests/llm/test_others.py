@@ -351,3 +351,16 @@ def test_route_equals_the_network():
     supply = {("=a",): 50, ("=b",): 70, ("=b", "=c"): 30, ("=d",): 0, ("=e",): 9}
     quotas = {"=a": 75, "=b": 90, "=c": 40, "=d": 0, "=e": 30}
     assert mixing.route(supply, quotas, 2, 2) == mixing.min_cost_flow(supply, quotas, 2)
+
+
+def test_secrets_models_cover_all_documents_and_single_case(spark):
+    rare = "zqxj_kvwq_zxqj_vkqz"
+    rows = [(i, "the quick brown fox jumps over lazy dogs and internationalization notes", "", "", 0) for i in range(4100)]
+    few, _ = secrets.corpus_counts(frame(spark, rows))
+    _, ordinary = secrets.corpus_counts(frame(spark, rows + [(9000 + i, rare, "", "", 0) for i in range(50)]))
+    a, b = secrets.INDEX["z"], secrets.INDEX["q"]
+    assert ordinary[a, b] == 50 and not few
+    table = secrets.train(frame(spark, corpus(80)))
+    rng = np.random.default_rng(3)
+    draws = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(50)]
+    assert sum(secrets.looks_random(x, table) for x in draws) >= 40
