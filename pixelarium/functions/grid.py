@@ -67,6 +67,22 @@ def even_indices(n: int, budget: int) -> list[int]:
     return np.linspace(0, n - 1, num=budget, dtype=np.int64).tolist()
 
 
+def window_meet(col: Column, row: Column, width: int, height: int, window: Sequence[int]) -> dict[str, Column]:
+    """Offset and size of what a window of that size at (col, row) has in common with
+    another (first col, first row, end col, end row); sizes are 0 where they are apart."""
+    left, top, right, bottom = window
+    x, y = F.greatest(col, F.lit(left)), F.greatest(row, F.lit(top))
+    wide, high = F.least(col + width, F.lit(right)) - x, F.least(row + height, F.lit(bottom)) - y
+    return {"col_off": x, "row_off": y, "width": F.greatest(F.lit(0), wide), "height": F.greatest(F.lit(0), high)}
+
+
+def valid_bands(bands: Column, nodata: float | None) -> Column:
+    """Whether no band of a pixel has the nodata value; NaN stands for NaN."""
+    if nodata is None:
+        return F.lit(True)
+    return ~F.exists(bands, F.isnan if nodata != nodata else lambda b: b == F.lit(float(nodata)))
+
+
 def display_tile_box(box: Sequence[Column], z, x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
     """(left, bottom, right, top) of a quadtree tile within a raster's own bounds,
     y from the top."""

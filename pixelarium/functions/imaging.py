@@ -39,6 +39,14 @@ def display_level(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), F.floor(value + 0.5))).cast("int")
 
 
+def canvas_pixel(samples: Column) -> Column:
+    """Red, green, blue and opacity of a pixel's samples: three or four are colours,
+    of fewer the first is a grey."""
+    level = lambda i: display_level(F.get(samples, F.lit(i)))
+    colours = F.array(level(0), level(1), level(2), F.when(F.size(samples) >= 4, level(3)).otherwise(F.lit(255)))
+    return F.when(F.size(samples) >= 3, colours).otherwise(F.array(level(0), level(0), level(0), F.lit(255)))
+
+
 def stretch_uint8(data: np.ndarray) -> np.ndarray:
     """Each band between its 2nd and 98th percentile; 8-bit data as it is."""
     if data.dtype == np.uint8:

@@ -115,8 +115,8 @@ def _check_blocks(blocks: DataFrame) -> int:
         if r.zero:
             z = r.first_zero
             message = (
-                f"Encountered all-zero vector while building index: tile_path={r.tile_path}, valid_pixels={r.valid}, inside_pixels={r.inside_n}, "
-                f"zero_vector_count={r.zero}, row={z.row}, col={z.col}, lon={z.lon}, lat={z.lat}"
+                f"all-zero vector in {r.tile_path} at row={z.row}, col={z.col} ({z.lon}, {z.lat}); "
+                f"its block has {r.zero} of them among {r.inside_n} pixels inside and {r.valid} valid ones"
             )
             log.error("zero_vector_error %s", message)
             raise ValueError(message)

@@ -99,6 +99,37 @@ def even_sample(cells: DataFrame, budget: int, order: Sequence[str], rows: int)
     return numbered.join(at, "at").drop("at")
 
 
+def running(rows: DataFrame, value: Column, name: str = "running", block: int = 4096) -> DataFrame:
+    """``rows`` plus the sum of ``value`` over all rows up to each, by ``id`` (a long).
+    Blocks of neighbouring ids are summed on their own; only their sums, one row for
+    each block, meet in one task."""
+    own, before = hidden(rows, "block"), hidden(rows, "before")
+    placed = rows.withColumns({own: F.floor(F.col("id") / block), name: value})
+    sums = placed.groupBy(own).agg(F.sum(name).alias("total"))
+    ahead = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(own, F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias(before))
+    inner = Window.partitionBy(own).orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(name, F.sum(name).over(inner)).join(starts, own).withColumn(name, F.col(name) + F.col(before)).drop(own, before)
+
+
+def hidden(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name = "_" + name
+    return name
+
+
+def even_sample_short(rows: DataFrame, budget: int = 1000) -> DataFrame:
+    """Rows number floor(i n / budget) by id: the last one is left out. All rows where
+    there are no more than the budget."""
+    n = rows.count()
+    if n <= budget:
+        return rows
+    number = hidden(rows, "number")
+    at = F.broadcast(rows.sparkSession.range(budget).select(F.expr(f"id * {n}L div {budget}").alias(number)))
+    numbered = running(rows, F.lit(1), number).withColumn(number, F.col(number) - 1)
+    return numbered.join(at, number).select(*rows.columns)
+
+
 @dataclass
 class Clustering:
     labelled: DataFrame
@@ -115,6 +146,11 @@ def cluster(cells: DataFrame, *, budget: int = 1000, k_min: int = 3, k_max: int
     among equals. A given ``k`` is used as it is."""
     spark = cells.sparkSession
     rows = cells.count()
+    if k is not None and rows and k >= rows:  # as many clusters as rows or more: each row is one
+        at = F.row_number().over(Window.orderBy(*order)) - 1  # fewer rows than k
+        labelled = cells.withColumn("label", F.pmod(at, F.lit(k)).cast("int"))
+        centres = [list(map(float, r["embedding"])) for r in labelled.orderBy("label").select("embedding").collect()]
+        return Clustering(labelled, k, [k], {}, centres, rows)
     sample = even_sample(cells, budget, order, rows).select(*order, "embedding").orderBy(*order).collect()  # at most ``budget`` rows
     vectors = np.array([r["embedding"] for r in sample], np.float32)
     ks = candidate_ks(len(vectors), k_min, k_max) if k is None else [k]

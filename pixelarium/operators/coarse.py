@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,14 @@ def quantise(pixels: DataFrame, matrix: np.ndarray) -> DataFrame:
     return map_arrow(pixels.select("id", "embedding"), run, COARSE)
 
 
+def id_range(pixels: DataFrame) -> DataFrame:
+    """One row: how many rows there are, and how many ids are not from 0 to one less."""
+    ids = pixels.agg(F.count("*").alias("n"), F.count_if(F.col("id") < 0).alias("below"))
+    # one row
+    above = pixels.crossJoin(F.broadcast(ids)).agg(F.max("n").alias("n"), F.max("below").alias("below"), F.count_if(F.col("id") >= F.col("n")).alias("above"))
+    return above.select(F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("below", F.lit(0)) + F.col("above")).alias("invalid"))
+
+
 def build_coarse(pixels: DataFrame, *, stride: int = STRIDE, reduced: int = REDUCED, seed: int = SEED, source_info: dict | None = None) -> CoarseIndex:
     if stride < 1:
         raise ValueError("stride must be >= 1")
@@ -93,12 +102,15 @@ def build_coarse(pixels: DataFrame, *, stride: int = STRIDE, reduced: int = REDU
     first = pixels.select(F.size("embedding").alias("n")).first()
     dim = first["n"] if first else 64
     if reduced > dim:
-        raise ValueError("reduced_dim must be <= source embedding dimension.")
+        raise ValueError("reduced_dim is more than the vectors have")
+    ids = id_range(pixels).first()
+    if ids["invalid"]:
+        raise ValueError(f"{ids['invalid']} ids are beyond the {ids['n']} vectors")
     matrix = projection_matrix(dim, reduced, seed)
     chosen = strided(pixels, stride)
     table = quantise(chosen, matrix).join(chosen.select("id", "lon", "lat", "tile_path", "row", "col"), "id")
     info = {
-        "source_dim": dim, "reduced_dim": reduced, "stride": stride, "projection_seed": seed, "quantization": "symmetric_int8_scale_127",
+        "source_vector_count": ids["n"], "source_dim": dim, "reduced_dim": reduced, "stride": stride, "projection_seed": seed, "quantization": "symmetric_int8_scale_127",
         "projection_sha256": matrix_sha256(matrix), "source_index_type": (source_info or {}).get("index_type"),
     }
     return CoarseIndex(table, matrix, info)
@@ -110,7 +122,12 @@ def save_coarse(index: CoarseIndex, folder: str) -> dict:
     index.table.write.mode("overwrite").parquet(f"{folder}/coarse.parquet")
     rows = [(i, j, float(index.matrix[i, j])) for i in range(index.matrix.shape[0]) for j in range(index.matrix.shape[1])]
     spark.createDataFrame(rows, "i int, j int, w float").coalesce(1).write.mode("overwrite").parquet(f"{folder}/projection.parquet")
-    info = index.info | {"coarse_vector_count": spark.read.parquet(f"{folder}/coarse.parquet").count()}
+    source = f"{folder}/pixels.parquet"
+    info = {  # names of the manifest's entries (fixed values)
+        "build_time": datetime.now(timezone.utc).isoformat(), "source_metadata_path": source, "source_embeddings_path": source, "source_build_info_path": f"{folder}/build_info.json",
+        "coarse_embeddings_path": f"{folder}/coarse.parquet", "coarse_ids_path": f"{folder}/coarse.parquet", "coarse_projection_path": f"{folder}/projection.parquet",
+        "coarse_vector_count": spark.read.parquet(f"{folder}/coarse.parquet").count(),
+    } | index.info
     spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/coarse_info.json")
     return info
 
@@ -128,7 +145,7 @@ def load_coarse(spark, folder: str) -> CoarseIndex | None:
     for r in rows:
         matrix[r.i, r.j] = r.w
     if matrix_sha256(matrix) != info["projection_sha256"]:
-        raise ValueError("coarse projection does not match its recorded sha256.")
+        raise ValueError("the stored projection is not the one described")
     table = spark.read.parquet(f"{folder}/coarse.parquet")
     width = table.select(F.size("q").alias("n")).first()
     if width is not None and width["n"] != matrix.shape[1]:
@@ -146,9 +163,9 @@ def coarse_top_k(index: CoarseIndex | None, query: Sequence[float], k: int, *, b
     """Top-k of the coarse index by (q . projected query) / 127, which rounding may
     push a little over 1. Spacing looks at ``keep_count`` hits only."""
     if index is None:
-        raise ValueError("Coarse index is not available; build coarse index first.")
+        raise ValueError("there is no coarse index: build one")
     if len(query) != index.matrix.shape[0]:
-        raise ValueError(f"query embedding dim {len(query)} does not match coarse projection source dim {index.matrix.shape[0]}.")
+        raise ValueError(f"the query has {len(query)} dimensions, the coarse index was made of {index.matrix.shape[0]}")
     projected = unit(np.asarray(unit(query)) @ index.matrix.astype(float))
     rows = index.table if box is None else index.table.where(geo.in_box(F.col("lon"), F.col("lat"), box))
     hits = rows.withColumn("score", vector.dot(F.col("q"), vector.literal(projected)) / F.lit(127.0))

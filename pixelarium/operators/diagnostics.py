@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelarium.functions import vector
 from pixelarium.functions.grid import Grid
-from pixelarium.sources import rasters
+from pixelarium.sources import files, rasters
 
 from . import histogram
 from .search import nearest_of_each
@@ -108,8 +108,6 @@ def box_report(pixels: DataFrame, info: dict | None = None, samples: int = 100)
 
 def distribution_report(pixels: DataFrame, folder: str, info: dict | None = None, bins: int = histogram.BINS) -> dict:
     """Bounds, density and its picture, written below ``folder``/diagnostics."""
-    import os
-
     box = histogram.bounds(pixels).first()
     path = f"{folder}/diagnostics/metadata_distribution.png"
     report = {
@@ -120,9 +118,7 @@ def distribution_report(pixels: DataFrame, folder: str, info: dict | None = None
     cells = histogram.density(pixels, tuple(report["bbox"] or (0.0, 0.0, 1.0, 1.0)), bins)
     summary = histogram.density_summary(cells).first()
     report |= {"nonzero_cell_count": summary.nonzero_cells, "max_cell_count": summary.max_cell}
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "wb") as f:
-        f.write(histogram.density_png(cells, bins))
+    files.write_bytes(pixels.sparkSession, path, histogram.density_png(cells, bins))
     return report
 
 

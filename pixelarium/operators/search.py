@@ -7,6 +7,7 @@ Ties are broken by id, so results don't depend on the partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -57,6 +58,11 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*best_first())))
 
 
+def hit_by_rank(hits: DataFrame, rank: int) -> DataFrame:
+    """The hit of that rank; none where there are fewer."""
+    return hits.where(F.col("rank") == rank)
+
+
 def require_dimension(pixels: DataFrame, query: Sequence[float], column: str = "embedding") -> None:
     row = pixels.select(F.size(column).alias("n")).first()
     if row is not None and row["n"] != len(query):
@@ -81,43 +87,64 @@ def exact_top_k(
         return ranked(diversify(hits, k, min_distance_m))
     top = hits.orderBy(*best_first()).limit(k)
     if batches:
-        top = pixels.join(F.broadcast(top), "id")  # k rows
+        top = rows_of(pixels, top)
     return ranked(top)
 
 
+def rows_of(pixels: DataFrame, top: DataFrame) -> DataFrame:
+    """The rows of a bounded table of winners (id and what they won by). Their ids are
+    a filter of the scan, so that only row groups that may hold one are read."""
+    won = top.collect()
+    table = pixels.sparkSession.createDataFrame(won, top.schema)
+    return pixels.where(F.col("id").isin([r["id"] for r in won])).join(F.broadcast(table), "id")
+
+
 def diversify(hits: DataFrame, k: int, min_distance_m: float, first: int | None = None, bound: int | None = None) -> DataFrame:
     """Greedy spacing: walking the hits best first, one is kept if it is no nearer
     than ``min_distance_m`` to any kept before, until k are.
 
-    Only as many of the best hits as needed meet in one fold: it starts from 4k and
-    takes four times as many whenever they yield too few and there are more.
-    ``bound`` gives the number of hits that may be looked at, at most.
+    The best 4k hits (or ``first``) meet in one fold. If they yield too few, the next
+    fold takes as many of the hits after them that are not too near to one kept, so
+    each fold has the same size and keeps one hit at least, however crowded the best
+    ones lie. ``bound`` gives the number of hits that may be looked at, at most.
     """
     spark = hits.sparkSession
     light = hits.select("score", "id", "lon", "lat")
-    take = min(first or 4 * k, bound or 1 << 62)
+    if bound is not None:
+        light = light.orderBy(*best_first()).limit(bound)
+    take, kept, rest = first or 4 * k, [], light
     while True:
-        kept = _walk(light.orderBy(*best_first()).limit(take), k, min_distance_m).collect()[0]
-        if len(kept["kept"] or []) >= k or (kept["n"] or 0) < take or take == bound:
+        walked = _walk(rest.orderBy(*best_first()).limit(take), kept, k, min_distance_m).first()
+        kept = walked["kept"] or []
+        if len(kept) >= k or walked["n"] < take:
             break
-        take = min(4 * take, bound or 1 << 62)
-    ids = [r["id"] for r in kept["kept"] or []]
-    wanted = spark.createDataFrame([(i,) for i in ids], "id long")
-    return hits.join(F.broadcast(wanted), "id")  # at most k rows
-
-
-def _walk(top: DataFrame, k: int, min_distance_m: float) -> DataFrame:
-    """One row: the kept hits of a bounded table, and how many it had."""
-    gathered = top.agg(F.collect_list(F.struct((-F.col("score")).alias("down"), "id", "lon", "lat")).alias("rows"), F.count("*").alias("n"))
-    row_type = "array<struct<down:double,id:bigint,lon:double,lat:double>>"
-    keep = F.aggregate(
-        F.array_sort("rows"),
-        F.array().cast(row_type),
-        lambda kept, x: F.when(
-            (F.size(kept) >= k) | F.exists(kept, lambda y: geo.haversine_m(x["lon"], x["lat"], y["lon"], y["lat"]) < F.lit(float(min_distance_m))), kept
-        ).otherwise(F.concat(kept, F.array(x))),
+        last = walked["last"]
+        after = (F.col("score") < F.lit(-last["down"])) | ((F.col("score") == F.lit(-last["down"])) & (F.col("id") > F.lit(last["id"])))
+        rest = light.where(after & ~_too_near(_places(kept), F.struct("lon", "lat"), min_distance_m))
+    table = spark.createDataFrame([(r["id"],) for r in kept], "id long")  # at most k rows
+    return hits.where(F.col("id").isin([r["id"] for r in kept])).join(F.broadcast(table), "id")
+
+
+_PLACE = "struct<down:double,id:bigint,lon:double,lat:double>"
+
+
+def _places(kept: Sequence) -> Column:
+    """At most k hits as an array literal."""
+    return F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("down", "id", "lon", "lat")]) for r in kept]).cast(f"array<{_PLACE}>")
+
+
+def _too_near(kept: Column, x: Column, min_distance_m: float) -> Column:
+    return F.exists(kept, lambda y: geo.haversine_m(x["lon"], x["lat"], y["lon"], y["lat"]) < F.lit(float(min_distance_m)))
+
+
+def _walk(top: DataFrame, kept: Sequence, k: int, min_distance_m: float) -> DataFrame:
+    """One row: the hits kept after walking a bounded table as well, how many it had,
+    and the last of them."""
+    gathered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "id", "lon", "lat"))).alias("rows"), F.count("*").alias("n"))
+    walked = F.aggregate(
+        "rows", _places(kept), lambda own, x: F.when((F.size(own) >= k) | _too_near(own, x, min_distance_m), own).otherwise(F.concat(own, F.array(x)))
     )
-    return gathered.select(keep.alias("kept"), "n")
+    return gathered.select(walked.alias("kept"), "n", F.try_element_at("rows", F.lit(-1)).alias("last"))
 
 
 def nearest(pixels: DataFrame, lon: float, lat: float) -> DataFrame:
@@ -137,14 +164,29 @@ def nearest(pixels: DataFrame, lon: float, lat: float) -> DataFrame:
 
 
 def nearest_of_each(pixels: DataFrame, points: Sequence[tuple[float, float]]) -> DataFrame:
-    """``nearest`` for several points in one pass: each row meets every point (an
-    array literal), and each point keeps its least (outside window, distance, id)."""
-    places = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for i, (x, y) in enumerate(points)])
-    met = pixels.select("id", "lon", "lat", F.explode(places).alias("p")).select("id", "lon", "lat", "p.*")
-    box = (F.col("lon") >= F.col("x") - WINDOW_DEGREES) & (F.col("lon") <= F.col("x") + WINDOW_DEGREES) & (F.col("lat") >= F.col("y") - WINDOW_DEGREES) & (F.col("lat") <= F.col("y") + WINDOW_DEGREES)
-    measured = met.withColumns({"far": ~box, "dist2": geo.squared_degrees(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))})
-    best = measured.groupBy("point", "x", "y").agg(F.min(F.struct("far", "dist2", "id")).alias("best"))
-    return best.select("point", "x", "y", F.col("best.far").alias("used_fallback"), F.col("best.dist2").alias("dist2"), F.col("best.id").alias("id"))
+    """``nearest`` for several points: ``point, x, y, used_fallback, dist2, id``.
+
+    A pixel meets only the points whose windows reach its cell of twice a window's
+    half: each window touches a few cells, and the table of those (a few rows for each
+    point given) is broadcast. Points with nothing in their windows meet all pixels in
+    one more pass. The plan is run here: one row per point reaches the driver.
+    """
+    spark, side = pixels.sparkSession, 2 * WINDOW_DEGREES
+    cells = lambda v: range(math.floor((v - WINDOW_DEGREES) / side), math.floor((v + WINDOW_DEGREES) / side) + 1)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+    reach = [(cx, cy, i, x, y) for i, x, y in places for cx in cells(x) for cy in cells(y)]
+    table = spark.createDataFrame(reach, "cx long, cy long, point int, x double, y double")
+    at = pixels.select("id", "lon", "lat", F.floor(F.col("lon") / F.lit(side)).alias("cx"), F.floor(F.col("lat") / F.lit(side)).alias("cy"))
+    near = lambda v, w: (F.col(v) >= F.col(w) - WINDOW_DEGREES) & (F.col(v) <= F.col(w) + WINDOW_DEGREES)
+    inside = near("lon", "x") & near("lat", "y")
+    measured = lambda met: met.withColumn("dist2", geo.squared_degrees(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")))
+    best = lambda met: measured(met).groupBy("point", "x", "y").agg(F.min(F.struct("dist2", "id")).alias("best")).collect()
+    found = [(r.point, r.x, r.y, False, *r.best) for r in best(at.join(F.broadcast(table), ["cx", "cy"]).where(inside))]
+    alone = sorted({p[0] for p in places} - {f[0] for f in found})
+    if alone:
+        asked = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("point", "x", "y"), places[i], strict=True)]) for i in alone])
+        found += [(r.point, r.x, r.y, True, *r.best) for r in best(pixels.select("id", "lon", "lat", F.explode(asked).alias("p")).select("id", "lon", "lat", "p.*"))]
+    return spark.createDataFrame(found, "point int, x double, y double, used_fallback boolean, dist2 double, id long")
 
 
 def mean_embedding(rows: DataFrame, column: str = "embedding") -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pixelarium.functions import geo, grid, imaging, vector
 from pixelarium.operators import build, cluster, coarse, diagnostics, histogram, region, search
 from pixelarium.operators.boundary import Boundary
+from pixelarium.sources import rasters
 
 from . import tables as t
+from .engine import Engine, Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,10 +73,27 @@ def min_score_filter(spark, sf_dir):
     return _hits(search.exact_top_k(t.pixels(spark, sf_dir), t.query_vector(spark, sf_dir), 50, min_score=0.1))
 
 
-@query(_top_sql(SCORED, 30))
+WORLD = (121.0, 29.0, 122.0, 30.0)
+
+
+@query(
+    f"{SCORED}, f AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, * FROM s WHERE {_box_sql(t.BOX)} LIMIT 30), "
+    f"m AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, * FROM s WHERE {_box_sql(WORLD)} AND score >= 1e-1 LIMIT 20) "
+    "SELECT 'box' AS call, rank, prow AS row, pcol AS col, tile_path, round(score, 6) AS score FROM f "
+    "UNION ALL SELECT 'score', rank, prow, pcol, tile_path, round(score, 6) FROM m"
+)
 def search_dispatch(spark, sf_dir):
-    """No box and no score: the plain scan, a negative score surviving."""
-    return _hits(search.exact_top_k(t.pixels(spark, sf_dir), t.query_vector(spark, sf_dir), 30, min_score=0.0))
+    """The engine's dispatcher: a box without a least score, which lets negative scores
+    through, and the boundary's box with one. Another box finds nothing."""
+    w, s, e, n = WORLD
+    engine = Engine(spark, Settings(), t.pixels(spark, sf_dir), {}, Boundary([[(w, s), (w, n), (e, n), (e, s), (w, s)]]))
+    asked = t.query_vector(spark, sf_dir)
+    calls = {
+        "box": engine.search_by_embedding(asked, 30, bbox=t.BOX, min_distance_m=0), "score": engine.search_by_embedding(asked, 20, min_distance_m=0, min_score=0.1),
+        "apart": engine.search_by_embedding(asked, 20, bbox=(10, 10, 11, 11), min_distance_m=0),
+    }
+    rows = [(name, h["rank"], h["row"], h["col"], h["tile_path"], round(h["score"], 6)) for name, found in calls.items() for h in found["results"]]
+    return spark.createDataFrame(rows, "call string, rank long, row long, col long, tile_path string, score double")
 
 
 HAVERSINE_SQL = (
@@ -138,9 +157,9 @@ def multi_point_nearest(spark, sf_dir):
     return found.select("point", "id", "used_fallback", F.round(F.col("dist2") * 1e9, 6).alias("dist2"))
 
 
-@query(f"{_with(PIX)} SELECT i - 1 AS pos, round(avg(e[i]), 6) AS mean FROM pixels, range(1, 65) r(i) WHERE id % 7 = 0 GROUP BY i")
+@query(f"{_with(PIX)} SELECT i - 1 AS pos, round(avg(e[i]), 6) AS mean FROM pixels, range(1, 65) r(i) GROUP BY i")
 def mean_embedding(spark, sf_dir):
-    means = search.mean_embedding(t.pixels(spark, sf_dir).where("id % 7 = 0"))
+    means = search.mean_embedding(t.pixels(spark, sf_dir))
     return means.select(F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
@@ -251,9 +270,10 @@ def stride_fallback(spark, sf_dir):
     return coarse.strided(t.pixels(spark, sf_dir).where("row % 2 = 1"), 2).select("id")
 
 
-@query(f"{_with(PIX)} SELECT count(*) AS n, count(*) FILTER (id < 0 OR id >= 300) AS invalid FROM pixels")
+@query(f"{_with(PIX)}, m AS (SELECT id * 3 - 50 AS id FROM pixels) SELECT count(*) AS n, count(*) FILTER (id < 0 OR id >= (SELECT count(*) FROM m)) AS invalid FROM m")
 def id_range_check(spark, sf_dir):
-    return t.pixels(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if((F.col("id") < 0) | (F.col("id") >= 300)).alias("invalid"))
+    """Ids that are spread out and moved are partly beyond the table."""
+    return coarse.id_range(t.pixels(spark, sf_dir).select((F.col("id") * 3 - 50).alias("id")))
 
 
 # -- grids and density ----------------------------------------------------
@@ -353,11 +373,11 @@ def silhouette_frame(rows: DataFrame) -> DataFrame:
     return sides.agg(F.avg(value).alias("silhouette"))
 
 
-SAMPLE = 200
+SAMPLE = 1000
 
 
 @query(
-    f"""{ASSIGN_SQL}, n AS (SELECT count(*) AS n FROM a), k AS (SELECT CASE WHEN i = {SAMPLE - 1} THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / {SAMPLE - 1}))::BIGINT END AS id FROM n, range(0, {SAMPLE}) r(i)),
+    f"""{ASSIGN_SQL}, n AS (SELECT count(*) AS n FROM a), k AS (SELECT CASE WHEN n <= {SAMPLE} THEN i WHEN i = {SAMPLE - 1} THEN n - 1 ELSE floor(i * ((n - 1)::DOUBLE / {SAMPLE - 1}))::BIGINT END AS id FROM n, range(0, {SAMPLE}) r(i) WHERE i < n),
     x AS (SELECT a.* FROM a JOIN k USING (id)),
     gaps AS (SELECT x.id, x.label, y.label AS ol, avg(sqrt(list_sum(list_transform(list_zip(x.e, y.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS gap FROM x JOIN x y ON x.id <> y.id GROUP BY ALL),
     s AS (SELECT id, min(gap) FILTER (label = ol) AS a, min(gap) FILTER (label <> ol) AS b FROM gaps GROUP BY id)
@@ -376,14 +396,13 @@ def even_sample(spark, sf_dir):
     return kept.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("at"), "id")
 
 
-@query(f"{_with(PIX)}, n AS (SELECT count(*) AS n FROM pixels) SELECT DISTINCT (i * n) // 1000 AS id FROM n, range(0, least(n, 1000)) r(i) WHERE n > 1000 UNION SELECT id FROM pixels, n WHERE n <= 1000")
+@query(
+    """WITH o AS (SELECT o_orderkey * 7 AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders), n AS (SELECT count(*) AS n FROM o)
+    SELECT id FROM o, n WHERE n <= 1000 OR pos IN (SELECT (i * n) // 1000 FROM n, range(0, 1000) r(i))"""
+)
 def even_sample_ui(spark, sf_dir):
-    """Rows floor(i n / 1000): the last one is left out."""
-    pixels = t.pixels(spark, sf_dir).select("id")
-    n = pixels.count()
-    if n <= 1000:
-        return pixels
-    return pixels.join(F.broadcast(spark.range(1000).select(F.expr(f"id * {n}L div 1000").alias("id"))), "id")
+    """Of more rows than the budget, whose ids have gaps."""
+    return cluster.even_sample_short(spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") * 7).alias("id")))
 
 
 @query(
@@ -396,17 +415,17 @@ def kmeanspp_threshold(spark, sf_dir):
     pixels = t.pixels(spark, sf_dir)
     origin = t.query_vector(spark, sf_dir)
     d = pixels.select("id", vector.squared_distance(F.col("embedding"), vector.literal(origin)).alias("d"))
-    running = d.select("id", F.sum("d").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))  # at most a cluster budget of rows in use
-    total = running.agg(F.max("cum")).first()[0]
+    summed = cluster.running(d, F.col("d"), "cum").select("id", "cum")
+    total = summed.agg(F.max("cum")).first()[0]
     shares = F.array(*[F.lit(f) for f in (1, 3, 5, 7, 9)])
-    met = running.select("id", "cum", F.explode(shares).alias("f")).where(F.col("cum") >= F.lit(total) * F.col("f") / 10.0)
+    met = summed.select("id", "cum", F.explode(shares).alias("f")).where(F.col("cum") >= F.lit(total) * F.col("f") / 10.0)
     return met.groupBy("f").agg(F.min("id").alias("id"))
 
 
 @query()
 def region_cluster(spark, sf_dir):
     """The scene: grid extract, k chosen by silhouette, labels for all cells."""
-    cells, _ = region.grid_extract(t.pixels(spark, sf_dir), t.BOX, 400)
+    cells, _ = region.grid_extract(t.pixels(spark, sf_dir), t.BOX)
     return cluster.cluster(cells).labelled.select("grid_row", "grid_col", "id", "label")
 
 
@@ -539,7 +558,7 @@ def _levels(spark, sf_dir) -> DataFrame:
 @query(f"{_with(PIX, LEVELS_SQL)} SELECT id FROM levels WHERE len(list_filter(bands, lambda b: b = -1)) = 0")
 def nodata_filter(spark, sf_dir):
     """Valid pixels: every band differs from the nodata value."""
-    return _levels(spark, sf_dir).where(F.forall("bands", lambda b: b != F.lit(-1.0))).select("id")
+    return _levels(spark, sf_dir).where(grid.valid_bands(F.col("bands"), -1.0)).select("id")
 
 
 @query(f"{_with(PIX, LEVELS_SQL)} SELECT id FROM levels WHERE len(list_filter(bands[1:2], lambda b: b <> 0)) = 0")
@@ -551,7 +570,7 @@ BLOCK_SQL = "placed AS (SELECT *, (prow // 4)::INT AS block_row, (pcol // 8)::IN
 
 
 def _placed(spark, sf_dir) -> DataFrame:
-    rows = _levels(spark, sf_dir).withColumns({"block_row": F.expr("int(row div 4)"), "block_col": F.expr("int(col div 8)"), "valid": F.forall("bands", lambda b: b != F.lit(-1.0))})
+    rows = _levels(spark, sf_dir).withColumns({"block_row": F.expr("int(row div 4)"), "block_col": F.expr("int(col div 8)"), "valid": grid.valid_bands(F.col("bands"), -1.0)})
     return rows.withColumn("inside", F.col("valid") & SHAPE.contains_strict(F.col("lon"), F.col("lat")))
 
 
@@ -614,14 +633,13 @@ def display_tile_bounds(spark, sf_dir):
 
 @query(f"{_with(PIX)} SELECT id, greatest(pcol, 10) AS col_off, greatest(prow, 5) AS row_off, greatest(0, least(pcol + 8, 20) - greatest(pcol, 10)) AS width, greatest(0, least(prow + 6, 15) - greatest(prow, 5)) AS height FROM pixels")
 def window_intersection(spark, sf_dir):
-    off = {"col": (F.greatest("col", F.lit(10)), 8, 20), "row": (F.greatest("row", F.lit(5)), 6, 15)}
-    size = {k: F.greatest(F.lit(0), F.least(F.col(k) + n, F.lit(end)) - low) for k, (low, n, end) in off.items()}
-    return t.pixels(spark, sf_dir).select("id", off["col"][0].alias("col_off"), off["row"][0].alias("row_off"), size["col"].alias("width"), size["row"].alias("height"))
+    met = grid.window_meet(F.col("col"), F.col("row"), 8, 6, (10, 5, 20, 15))
+    return t.pixels(spark, sf_dir).select("id", *[v.alias(k) for k, v in met.items()])
 
 
 @query(f"{_with(PIX, TILES_SQL)} SELECT path, substr(sha1(path), 1, 16) AS id FROM tiles")
 def basemap_id(spark, sf_dir):
-    return _tiles(spark, sf_dir).select("path", F.substring(F.sha1(F.col("path").cast("binary")), 1, 16).alias("id"))
+    return _tiles(spark, sf_dir).select("path", rasters.basemap_id(F.col("path")).alias("id"))
 
 
 @query(f"{_with(PIX)} SELECT id, CASE WHEN id % 256 > 0 THEN 255 ELSE 0 END AS r, CASE WHEN id % 256 > 0 THEN 70 ELSE 0 END AS g, CASE WHEN id % 256 > 0 THEN 70 ELSE 0 END AS b, CASE WHEN id % 256 > 0 THEN floor((id % 256) * 6e-1 + 5e-1)::INT ELSE 0 END AS a FROM pixels")
@@ -635,6 +653,28 @@ def display_levels(spark, sf_dir):
     return t.pixels(spark, sf_dir).select("id", imaging.display_level(vector.doubles(F.col("embedding"))[0] * 1000).alias("level"))
 
 
+_LEVEL = "greatest(0, least(255, floor(s[{i}] * 1e3 + 5e-1)))::INT"
+_GREY = _LEVEL.format(i=1)
+
+
+@query(
+    f"{_with(PIX)}, p AS (SELECT id, e[1:1 + id % 5] AS s FROM pixels) SELECT id, CASE WHEN len(s) >= 3 THEN {_GREY} ELSE {_GREY} END AS r, CASE WHEN len(s) >= 3 THEN {_LEVEL.format(i=2)} ELSE {_GREY} END AS g, "
+    f"CASE WHEN len(s) >= 3 THEN {_LEVEL.format(i=3)} ELSE {_GREY} END AS b, CASE WHEN len(s) >= 4 THEN {_LEVEL.format(i=4)} ELSE 255 END AS a FROM p"
+)
+def canvas_pixels(spark, sf_dir):
+    """Pixels of one to five samples."""
+    scaled = F.transform(vector.doubles(F.col("embedding")), lambda x: x * 1000.0)
+    pixels = t.pixels(spark, sf_dir).select("id", F.slice(scaled, F.lit(1), (1 + F.col("id") % 5).cast("int")).alias("s"))
+    rgba = pixels.select("id", imaging.canvas_pixel(F.col("s")).alias("c"))
+    return rgba.select("id", *[F.col("c")[i].alias(n) for i, n in enumerate("rgba")])
+
+
+@query(f"SELECT * FROM ({_top_sql(SCORED, 10)}) WHERE rank = 7")
+def hit_of_rank(spark, sf_dir):
+    hits = search.exact_top_k(t.pixels(spark, sf_dir), t.query_vector(spark, sf_dir), 10)
+    return _hits(search.hit_by_rank(hits, 7))
+
+
 @query(f"{_with(PIX)} SELECT id FROM pixels WHERE id % 3 <> 0 AND id % 5 <> 0")
 def finite_filter(spark, sf_dir):
     odd = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).when(F.col("id") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("lon"))
@@ -642,11 +682,14 @@ def finite_filter(spark, sf_dir):
 
 
 # -- diagnostics ----------------------------------------------------------
-@query(f"{_with(PIX)} SELECT (SELECT count(*) FROM pixels) AS metadata_row_count, count(*) AS embedding_count, (SELECT count(*) FROM pixels) - count(*) AS invalid_id_count, round(avg((id % 5 = 0)::INT), 6) AS zero_ratio FROM pixels WHERE id < 400")
+@query(
+    f"{_with(PIX)} SELECT count(*) AS metadata_row_count, count(*) AS embedding_count, count(*) FILTER (id * 2 - 30 < 0 OR id * 2 - 30 >= (SELECT count(*) FROM pixels)) AS invalid_id_count, "
+    "round(avg((id % 5 = 0)::INT), 6) AS zero_ratio FROM pixels"
+)
 def diag_overview(spark, sf_dir):
     pixels = t.pixels(spark, sf_dir)
-    vectors = pixels.where("id < 400").select("id", F.transform(vector.doubles(F.col("embedding")), lambda x: x * (F.col("id") % 5)).alias("embedding"))
-    r = diagnostics.overview(pixels, vectors)
+    vectors = pixels.select("id", F.transform(vector.doubles(F.col("embedding")), lambda x: x * (F.col("id") % 5)).alias("embedding"))
+    r = diagnostics.overview(pixels.withColumn("id", F.col("id") * 2 - 30), vectors)
     row = (r["metadata_row_count"], r["embedding_count"], r["invalid_id_count"], round(r["embedding_sample"]["sample_zero_ratio"], 6))
     return spark.createDataFrame([row], "metadata_row_count long, embedding_count long, invalid_id_count long, zero_ratio double")
 

@@ -117,10 +117,10 @@ class Engine:
         _number("lon", lon, -180, 180)
         _number("lat", lat, -90, 90)
         if not self.boundary.has_point(lon, lat):
-            raise ValueError("Point is outside the boundary.")
+            raise ValueError("the position is not inside the boundary")
         row = search.nearest(self.pixels, lon, lat).first()
         if row is None:
-            raise ValueError("Index is empty; run build first.")
+            raise ValueError("there are no pixels: build the index")
         return {"year": self.settings.year, "lon": lon, "lat": lat, "tile_path": row.tile_path, "row": row.row, "col": row.col, "embedding": list(row.embedding)}
 
     def search_by_embedding(
@@ -178,22 +178,22 @@ class Engine:
     def point_query_scene(self, points: Sequence[dict], *, top_k: int = 20, min_distance_m: float = 50.0, min_score: float = 0.9, search_radius_km: float = 5.0, year: int | None = None) -> dict:
         """Search by the mean vector of some points, around their centre."""
         if not points:
-            raise ValueError("points must contain at least one {lon, lat} item.")
+            raise ValueError("give at least one point")
         _number("top_k", top_k, 1)
         _number("min_distance_m", min_distance_m, 0)
         _number("min_score", min_score, 0, 1)
         if search_radius_km <= 0:
-            raise ValueError("search_radius_km must be > 0.")
+            raise ValueError("the search radius has to be positive")
         for i, p in enumerate(points, 1):
             if "lon" not in p or "lat" not in p:
-                raise ValueError(f"point #{i} must contain lon and lat.")
+                raise ValueError(f"point {i} lacks lon or lat")
             if not self.boundary.has_point(float(p["lon"]), float(p["lat"])):
-                raise ValueError("Point is outside the boundary.")
+                raise ValueError("the position is not inside the boundary")
         places = [(float(p["lon"]), float(p["lat"])) for p in points]
         found = search.nearest_of_each(self.pixels, places)
         rows = sorted(self.pixels.join(F.broadcast(found.select("point", "id")), "id").collect(), key=lambda r: r.point)  # one per point
         if not rows:
-            raise ValueError("Index is empty; run build first.")
+            raise ValueError("there are no pixels: build the index")
         n = len(rows)
         mean = [sum(v) / n for v in zip(*(r.embedding for r in rows), strict=True)]
         centre = {"lon": sum(x for x, _ in places) / n, "lat": sum(y for _, y in places) / n}
@@ -214,7 +214,7 @@ class Engine:
         _number("total_samples", total_samples, 1)
         _number("cluster_budget", cluster_budget, 1)
         if k_min < 2 or k_max < k_min:
-            raise ValueError("k_min/k_max must satisfy 2 <= k_min <= k_max.")
+            raise ValueError("least and most clusters must be 2 or more, in this order")
         cells, grid, box = self.grid(bbox, total_samples)
         rows, fitted = [], None
         if cells is not None:

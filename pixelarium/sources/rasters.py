@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelarium.functions.geo import to_lonlat
@@ -98,6 +98,18 @@ def _pixel_batch(path: str, t: tiff.Tiff, r: int, c: int, rows: int, cols: int,
     return pa.RecordBatch.from_arrays(columns, [p.strip().split(" ")[0] for p in PIXELS.split(",")])
 
 
+def basemap_id(path: Column) -> Column:
+    """16 hex digits of the path's SHA-1."""
+    return F.substring(F.sha1(path.cast("binary")), 1, 16)
+
+
+def find_basemap(spark: SparkSession, folder: str, wanted: str):
+    """(path, modificationTime) of the raster with that id, or None: the folder is
+    listed, and no raster is opened."""
+    listed = files(spark, folder, "*.{tif,tiff}", True).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "modificationTime")
+    return listed.where(basemap_id(F.col("path")) == wanted).first()
+
+
 def list_basemaps(spark: SparkSession, folder: str) -> DataFrame:
     """Rasters of a folder and those below it, by path; a file that can't be read
     becomes a row with its error. ``id`` is 16 hex digits of the path's SHA-1."""
@@ -115,8 +127,7 @@ def list_basemaps(spark: SparkSession, folder: str) -> DataFrame:
             yield _rows(LISTING, rows)
 
     listed = map_arrow(files(spark, folder, "*.{tif,tiff}", True).select("path", "content"), run, LISTING)
-    named = F.substring(F.sha1(F.col("path").cast("binary")), 1, 16)
-    return listed.withColumn("id", named).withColumn("tile_url_template", F.concat(F.lit("/offline/basemaps/"), "id", F.lit("/tiles/{z}/{x}/{y}.png"))).orderBy("path")
+    return listed.withColumn("id", basemap_id(F.col("path"))).withColumn("tile_url_template", F.concat(F.lit("/offline/basemaps/"), "id", F.lit("/tiles/{z}/{x}/{y}.png"))).orderBy("path")
 
 
 def pixel_at(spark: SparkSession, folder: str, path: str, lon: float, lat: float) -> dict:
@@ -134,8 +145,8 @@ def pixel_at(spark: SparkSession, folder: str, path: str, lon: float, lat: float
     col = int(np.floor((e * (x - c) - b * (y - f)) / det))
     row = int(np.floor((a * (y - f) - d * (x - c)) / det))
     if not (0 <= row < t.height and 0 <= col < t.width):
-        raise ValueError("Point is outside the tile extent.")
+        raise ValueError("the raster does not reach this position")
     values = t.window(row, col, 1, 1)[:, 0, 0]
     if t.nodata is not None and (values == t.nodata).any():
-        raise ValueError("Point falls on an invalid or nodata pixel.")
+        raise ValueError("no data at this position")
     return {"tile_path": path, "row": row, "col": col, "embedding": values.astype(np.float32).tolist()}

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("lineitem", "embeddings"):
+    for name in ("lineitem", "embeddings", "orders"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

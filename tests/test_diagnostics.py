@@ -67,7 +67,7 @@ def test_tif_reports(spark, folder):
     got = diagnostics.tif_overview(spark, folder)
     assert got["tile_count"] == 2 and got["band_count_distribution"] == {"64": 1, "768": 1}
     west, south, east, north = got["overall_bbox_wgs84"]
-    assert 121.53 < west < 121.541 and 29.863 < south < 29.865 and 121.547 < east < 121.549 and 29.871 < north < 29.873
+    assert 122.09 < west < 122.101 and 30.299 < south < 30.301 and 122.107 < east < 122.109 and 30.307 < north < 30.309
     got = diagnostics.tif_pixel_sampling(spark, folder)
     assert got["tile_count"] == 2 and got["parallel_workers"] >= 1
     assert (got["sampled_pixel_total"], got["nodata_pixel_total"], got["all_zero_pixel_total"], got["nonzero_valid_pixel_total"]) == (32, 2, 2, 28)

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from conftest import write_kml
 from pixelarium.functions import geo, grid, imaging
-from pixelarium.operators import cluster, search
+from pixelarium.operators import cluster, coarse, search
 from pixelarium.operators.basemap import resample, tile_box
 from pixelarium.operators.boundary import Boundary
 from pixelarium.sources import kml, tiff
@@ -42,7 +43,7 @@ def test_utm_scale_and_origin():
 
 
 def test_square_box():
-    w, s, e, n = geo.square_box(121.5, 29.5, 5.0)
+    w, s, e, n = geo.square_box(122.06, 29.5, 5.0)
     assert abs((n - s) / 2 * 111320 - 5000) < 1 and abs((e - w) / 2 * 111320 * math.cos(math.radians(29.5)) - 5000) < 1
     assert geo.square_box(0, 90, 1)[3] > 90
 
@@ -83,7 +84,7 @@ def test_rows_inside(spark):
 def test_kml(spark, tmp_path):
     write_kml(tmp_path / "b.kml")
     got = kml.load_boundary(spark, str(tmp_path / "b.kml"), str(tmp_path / "c" / "cache.json"))
-    assert got.box == [121.54, 29.864, 121.548, 29.872]
+    assert got.box == [122.1, 30.3, 122.108, 30.308]
     assert kml.load_boundary(spark, str(tmp_path / "b.kml"), str(tmp_path / "c" / "cache.json")).box == got.box
     write_kml(tmp_path / "b.kml", [(0, 0), (1, 0), (1, 1), (0, 0)])
     assert kml.load_boundary(spark, str(tmp_path / "b.kml"), str(tmp_path / "c" / "cache.json")).box == [0, 0, 1, 1]
@@ -146,6 +147,53 @@ def test_candidate_ks():
     assert cluster.candidate_ks(3, 3, 6) == [2] and cluster.candidate_ks(2, 3, 6) == [] and cluster.candidate_ks(100, 3, 6) == [3, 4, 5, 6]
 
 
+def test_spacing_of_crowded_hits(spark):
+    """The best hits lie in one place: each fold keeps its size and finds the next."""
+    rows = [(i, 10.0 + (i % 5) * 1e-5, 50.0, 1.0 - i / 1e4) for i in range(400)] + [(400 + i, 11.0 + i, 50.0, 0.5 - i / 100) for i in range(6)]
+    hits = spark.createDataFrame(rows, "id long, lon double, lat double, score double")
+    got = search.diversify(hits, 5, 1000.0, first=3).collect()
+    assert sorted(r.id for r in got) == [0, 400, 401, 402, 403]
+    few = search.diversify(hits, 5, 1000.0, first=3, bound=400).collect()
+    assert [r.id for r in few] == [0]
+    assert search.diversify(hits.limit(0), 5, 1000.0).count() == 0
+
+
+def test_nearest_of_many_points(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(draw.uniform(0, 0.3, (400, 2)))]
+    points = [(float(x), float(y)) for x, y in draw.uniform(-0.05, 0.35, (120, 2))] + [(rows[7][1] + 0.01, rows[7][2]), (5.0, -5.0)]
+    got = {r.point: r for r in search.nearest_of_each(spark.createDataFrame(rows, "id long, lon double, lat double"), points).collect()}
+    assert len(got) == len(points)
+    for i, (x, y) in enumerate(points):
+        best = min((not (x - 0.01 <= lon <= x + 0.01 and y - 0.01 <= lat <= y + 0.01), (lon - x) * (lon - x) + (lat - y) * (lat - y), j) for j, lon, lat in rows)
+        assert (got[i].used_fallback, got[i].dist2, got[i].id) == best
+    assert search.nearest_of_each(spark.createDataFrame([], "id long, lon double, lat double"), points).count() == 0
+
+
+def test_running_sums_and_short_samples(spark):
+    rows = spark.createDataFrame([(i * 37 - 900, i) for i in range(3000)], "id long, v long").repartition(5)
+    got = {r.id: r.sum for r in cluster.running(rows, F.col("v"), "sum", block=100).collect()}
+    assert got == {i * 37 - 900: i * (i + 1) // 2 for i in range(3000)}
+    kept = sorted(r.id for r in cluster.even_sample_short(rows, 70).collect())
+    assert kept == sorted((i * 3000 // 70) * 37 - 900 for i in range(70))
+    assert cluster.even_sample_short(rows, 3000).count() == 3000
+
+
+def test_ids_beyond_the_table(spark):
+    from pyspark.sql import Row
+
+    pixels = spark.createDataFrame([Row(id=i, lon=0.0, lat=0.0, tile_path="t", row=0, col=i, embedding=[1.0, 2.0]) for i in (0, 1, 5)])
+    assert coarse.id_range(pixels).first().asDict() == {"n": 3, "invalid": 1}
+    with pytest.raises(ValueError, match="1 ids"):
+        coarse.build_coarse(pixels, stride=1, reduced=2)
+
+
+def test_more_clusters_than_rows(spark):
+    cells = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(3)], "grid_row long, grid_col long, embedding array<float>")
+    got = cluster.cluster(cells, k=5)
+    assert sorted(r.label for r in got.labelled.collect()) == [0, 1, 2] and got.k == 5
+
+
 def test_diversify_is_greedy_and_maximal(spark):
     draw = np.random.default_rng(5)
     rows = [(i, float(draw.uniform(0, 0.02)), float(draw.uniform(0, 0.02)), float(draw.uniform())) for i in range(300)]
