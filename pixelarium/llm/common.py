@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelarium.sources.shipping import map_arrow
@@ -36,12 +36,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def work_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent (tests and
-    local sessions, whose driver and executors share one disk).
+    A folder of our own is made only where the setting is absent and the session is
+    local, so that driver and executors share one disk; on a cluster that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="pixelarium-")
         _ROOTS[app] = f"{base.rstrip('/')}/pixelarium-{app}"
@@ -109,7 +111,7 @@ def hide_columns(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Distributed union-find over an edge table, DataFrame operations only.
 
     Alternates the large-star and small-star rewritings until the edge set stops
@@ -127,11 +129,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
-    e = stage(e, "cc")
-    mark = _fingerprint(e)
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
+    e, mark = _marked(e)
+    while mark[0]:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = (
@@ -144,22 +143,22 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             large.join(small_min, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(small_min.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         )
-        nxt = stage(small, "cc")
+        nxt, after = _marked(small)
         unstage(large)
-        after = _fingerprint(nxt)
         unstage(e)
         e = nxt
         if after == mark:
             break
         mark = after
-    else:
-        raise RuntimeError("union-find did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _fingerprint(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-    return row["n"], row["x"]
+def _marked(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """An edge table, staged, with its number of rows and a hash of them all, both
+    gathered while it is written."""
+    seen = Observation()
+    out = stage(e.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")), "cc")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def rank_within(df: DataFrame, group: str, salt, order: list, rank: str, rows_per_part: int = 250_000) -> DataFrame:
@@ -171,19 +170,17 @@ def rank_within(df: DataFrame, group: str, salt, order: list, rank: str, rows_pe
     groups x salts rows, and the number of salts follows the row count, so a part
     of any group has about ``rows_per_part`` rows at most.
     """
-    part, = hide_columns(df, "part")
+    part, n_part, g, p, ahead = hide_columns(df, "part", "n_in_part", "group", "of_part", "ahead")
     n = df.count()
     salts = max(8, -(-n // rows_per_part))
     salted = df.withColumn(part, F.pmod(salt, F.lit(salts)).cast("int"))
-    parts = salted.groupBy(group, part).agg(F.count("*").alias("n_in_part"))
+    parts = salted.groupBy(group, part).agg(F.count("*").alias(n_part))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        F.col(group).alias("_g"), F.col(part).alias("_p"), F.coalesce(F.sum("n_in_part").over(before), F.lit(0)).alias("_before")
-    )
+    offsets = parts.select(F.col(group).alias(g), F.col(part).alias(p), F.coalesce(F.sum(n_part).over(before), F.lit(0)).alias(ahead))
     own = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1
     return (
         salted.withColumn(rank, own.cast("long"))
-        .join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(part) == F.col("_p")))
-        .withColumn(rank, F.col(rank) + F.col("_before"))
-        .drop("_g", "_p", "_before", part)
+        .join(offsets, F.col(group).eqNullSafe(F.col(g)) & (F.col(part) == F.col(p)))
+        .withColumn(rank, F.col(rank) + F.col(ahead))
+        .drop(g, p, ahead, part)
     )

@@ -2,78 +2,86 @@
 
 Distinct lines get a MinHash signature over character shingles: 18 minima of one
 shingle hash under 18 masks, gathered by a plain aggregate. Six bands of three
-values bring lines of similarity 0.8 together with a probability of 0.986. Lines that
-share a band are compared with pivots of the band, round by round: pairs whose
-signatures agree too little to be similar go at once, the others are verified by the
-exact Jaccard similarity of their shingle sets. Lines of crowded bands that are not yet
-joined meet by a prefix of their shingles, rarest first, which misses no similar pair.
-Verified pairs are joined by distributed union-find, and each component keeps its first
-line.
+values bring lines of similarity 0.8 together with a probability of 0.98. In bands of
+up to ``SMALL`` lines every pair is a candidate; in larger ones every line is one with
+eight pivots, and lines that are then not yet joined meet by a prefix of their shingles,
+rarest first, which misses no similar pair. Candidates whose signatures agree too little
+to be similar go at once, the others are verified by the exact Jaccard similarity of
+their shingle sets, unless a path of verified pairs joins them already. Verified pairs
+are joined by distributed union-find, and each component keeps its first line.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, documents, drop_table, release, stage, unstage, write_bucketed
+from .common import connected_components, documents, drop_table, hide_columns, release, stage, unstage, write_bucketed
 
 SHINGLE = 8
 BANDS, ROWS = 6, 3
 SIMILARITY = 0.8
+BLANKS = " \t\n\u000b\f\r"
+#: Shingles that are hashed in one row.
+BLOCK = 32
 #: Equal signature values that a pair needs for its texts to be compared. A pair of
 #: similarity 0.8 has fewer with a probability of 0.004.
 AGREE = 10
-BLOCKS = (4096, 64)
-#: Lines of a band up to which all its pairs may be compared.
-SMALL = 32
+#: Lines of a band up to which all its pairs are compared, and pivots of larger ones.
+SMALL, PIVOTS = 32, 8
 #: Words of 64 parity bits by which lines of crowded bands are told apart.
-PARITIES = 8
+PARITIES = 16
 NULL_ID = (1 << 63) - 1
+#: Bits of a line's place that its locator holds; the others name the document.
+PLACE = 20
 #: 32-bit masks: the golden ratio's multiples, spread over the hash's range.
 MASKS = [((i + 1) * 0x9E3779B9 & 0xFFFFFFFF) - (1 << 31) for i in range(BANDS * ROWS)]
 
 
-def _blocks(text: Column, size: int) -> Column:
-    """Overlapping parts of a text such that each shingle lies whole in one, so
-    that reading a shingle never walks a long text from its start."""
-    over = SHINGLE - 1
-    last = F.greatest(F.ceil((F.char_length(text) - over) / F.lit(float(size))), F.lit(1)).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * size + 1, F.lit(size + over)))
+def document_key() -> Column:
+    """A hash of a row's id and text: rows that repeat both have one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def shingle_hashes(line: Column) -> Column:
-    """32-bit hashes of all character shingles, repeats included; a line shorter
-    than a shingle is one shingle."""
+def _encoded(line: Column) -> Column:
+    """Four bytes for each character, so that a shingle is cut out of a line at no
+    cost of its length."""
+    return F.encode(line, "UTF-32")
 
-    def inner(block: Column) -> Column:
-        n = F.greatest(F.char_length(block) - (SHINGLE - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.hash(F.substring(block, i, F.lit(SHINGLE))))
 
-    coarse = F.flatten(F.transform(_blocks(line, BLOCKS[0]), lambda b: _blocks(b, BLOCKS[1])))
-    return F.flatten(F.transform(coarse, inner))
+def _blocks(chars: DataFrame) -> DataFrame:
+    """Rows with a line's encoded ``chars`` become one row for each ``BLOCK`` shingles,
+    with their 32-bit hashes ``h0`` and up; ``begins`` is 1 in a line's first row. A line
+    shorter than a shingle is one shingle. The last block repeats the last shingle, which
+    neither minima nor sets notice. Written out like this, no shingle is a row."""
+    size = 4 * SHINGLE
+    last = (F.greatest(F.octet_length("chars"), F.lit(size)) - (size - 1)).alias("last")
+    at = chars.select("*", last).select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * BLOCK))).alias("i"))
+    hashes = [F.hash(F.substring("chars", F.least(F.col("i") + 4 * j, F.col("last")), F.lit(size))).alias(f"h{j}") for j in range(BLOCK)]
+    others = [c for c in chars.columns if c != "chars"]
+    return at.select(*others, F.when(F.col("i") == 1, 1).otherwise(0).alias("begins"), *hashes)
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """``d, line_no, line, a, b``: the lines that are not blank, with two hashes
-    that together name the text; d is the doc_id, null ids last."""
+    """``d, t, line_no, line, a, b``: the lines that are not blank, with two hashes
+    that together name the text; d is the doc_id, null ids last, t the row's key."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
-    lines = docs.select(own, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(r"line RLIKE '\\S'")
+    lines = docs.select(own, document_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), "line")})
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``a, b, d, sig``: one row per distinct line, with its first document and its
-    signature. Characters are laid out in two bytes each (rare ones in four), so that
-    a shingle is cut out of a line at no cost of its length; every aggregate is a
-    minimum of numbers and is combined in the task that reads the text."""
-    laid = lines.select("a", "b", "d", F.encode("line", "UTF-16BE").alias("bytes"))
-    number = F.greatest(F.expr("octet_length(bytes) div 2").cast("int") - (SHINGLE - 1), F.lit(1))
-    at = laid.select("a", "b", "d", "bytes", F.explode(F.sequence(F.lit(0), number - 1)).alias("i"))
-    hashed = at.select("a", "b", "d", F.hash(F.expr(f"substring(bytes, i * 2 + 1, {2 * SHINGLE})")).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
-    each = hashed.groupBy("a", "b").agg(F.min("d").alias("d"), *mins)
-    return each.select("a", "b", "d", F.array(*[f"m{i}" for i in range(len(MASKS))]).alias("sig"))
+    """``a, b, loc, times, sig``: one row per distinct line, with a locator of a
+    place that has it, the number of its places and its signature. Every aggregate is
+    a minimum or a sum of numbers and is combined in the task that reads the text."""
+    locator = F.expr(f"shiftleft(shiftrightunsigned(t, {PLACE + 1}), {PLACE}) | (line_no & {(1 << PLACE) - 1})")
+    hashed = _blocks(lines.select("a", "b", locator.alias("loc"), _encoded(F.col("line")).alias("chars")))
+    mins = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)])).alias(f"m{i}") for i, m in enumerate(MASKS)]
+    each = hashed.groupBy("a", "b").agg(F.min("loc").alias("loc"), F.sum("begins").alias("times"), *mins)
+    return each.select("a", "b", "loc", "times", F.array(*[f"m{i}" for i in range(len(MASKS))]).alias("sig"))
 
 
 def bands(sig: Column) -> Column:
@@ -82,25 +90,39 @@ def bands(sig: Column) -> Column:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, line`` of wanted lines (id, a, b, d): only the documents that hold one
-    are opened, and only their wanted lines leave."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    needs = wanted.groupBy("d").agg(F.collect_list(F.struct("a", "b", "id")).alias("needs"))
-    opened = docs.select(own.alias("d"), "text").join(needs, "d")
-    found = opened.select("needs", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    named = found.withColumn("hit", F.filter("needs", lambda x: (x["a"] == F.xxhash64("line")) & (x["b"] == F.xxhash64(F.lit(7), "line"))))
-    # rows that share a doc_id may each hold the line
-    return named.where(F.size("hit") > 0).select(F.col("hit")[0]["id"].alias("id"), "line").dropDuplicates(["id"])
+    """``id, chars`` of wanted lines (id, a, b, loc): documents are opened by their
+    key, and only wanted lines leave, each read at its place."""
+    needs = wanted.groupBy(F.shiftrightunsigned("loc", PLACE).alias("k")).agg(
+        F.collect_list(F.struct("id", "a", "b", F.expr(f"CAST(loc & {(1 << PLACE) - 1} AS INT)").alias("r"))).alias("needs")
+    )
+    opened = docs.select(F.shiftrightunsigned(document_key(), PLACE + 1).alias("k"), F.split("text", "\n").alias("parts"))
+    opened = opened.join(needs.hint("shuffle_hash"), "k").where(F.size("parts") > 0)
+
+    def read(need: Column) -> Column:
+        # the locator holds the lower bits of a place, so later ones may be meant
+        places = F.sequence(need["r"], F.greatest(F.size("parts") - 1, need["r"]), F.lit(1 << PLACE))
+        return F.struct(need["id"].alias("id"), need["a"].alias("a"), need["b"].alias("b"), F.transform(places, lambda i: F.get("parts", i)).alias("lines"))
+
+    found = opened.select(F.explode(F.transform("needs", read)).alias("x")).select("x.id", "x.a", "x.b", F.explode("x.lines").alias("line"))
+    named = found.where((F.col("a") == F.xxhash64("line")) & (F.col("b") == F.xxhash64(F.lit(7), "line")))
+    # rows that repeat id and text each hold the line
+    return named.select("id", _encoded(F.col("line")).alias("chars")).dropDuplicates(["id"])
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """``id, set``: the distinct 32-bit hashes of the shingles of lines (id, chars)."""
+    blocks = _blocks(lines).select("id", F.array(*[f"h{j}" for j in range(BLOCK)]).alias("block"))
+    return blocks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("set"))
 
 
 class ShingleSets:
-    """The shingle sets of wanted lines (id, a, b, d): each is made once, however
+    """The shingle sets of wanted lines (id, a, b, loc): each is made once, however
     many pairs ask for it, and lies bucketed by id."""
 
     def __init__(self, docs: DataFrame, wanted: DataFrame):
         self.spark = docs.sparkSession
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sets = line_texts(docs, wanted).repartition(parts, "id").select("id", F.array_distinct(shingle_hashes(F.col("line"))).alias("set"))
+        sets = shingle_sets(line_texts(docs, wanted).repartition(parts, "id"))
         self.table, self.path = write_bucketed(sets, ["id"], "sets")
         release(self.spark)
 
@@ -111,107 +133,125 @@ class ShingleSets:
         drop_table(self.spark, self.table, self.path)
 
 
-def likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of distinct pairs (id, p) those whose signatures agree enough, staged."""
-    both = pairs.join(lines.select("id", "sig"), "id").join(lines.select(F.col("id").alias("p"), F.col("sig").alias("other")), "p")
-    same = F.size(F.filter(F.zip_with("sig", "other", lambda x, y: x == y), lambda e: e))
-    return stage(both.where(same >= AGREE).select("id", "p"), "likely")
-
-
 def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
     """Of distinct pairs (id, p) those whose lines are similar by the exact Jaccard
-    similarity of their shingle sets, staged."""
+    similarity of their shingle sets, staged. In whole numbers: of n shingles in both
+    sets together, 4 n / 9 at least are shared."""
     y = sets.read().select(F.col("id").alias("p"), F.col("set").alias("y"))
-    read = pairs.join(sets.read().select("id", F.col("set").alias("x")), "id").join(y, "p")
-    shared = read.select("id", "p", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return stage(shared.where(F.col("both") >= SIMILARITY * (F.col("n") - F.col("both"))).select("id", "p"), "links")
+    read = pairs.select("id", "p").join(sets.read().select("id", F.col("set").alias("x")), "id").join(y, "p")
+    least = 4 * (F.size("x") + F.size("y"))
+    similar = (9 * F.least(F.size("x"), F.size("y")) >= least) & (9 * F.size(F.array_intersect("x", "y")) >= least)
+    return stage(read.where(similar).select("id", "p"), "links")
+
+
+def candidates(shared: DataFrame, lines: DataFrame) -> DataFrame:
+    """Distinct pairs (id, p) of lines that share a band and agree enough, staged;
+    ``star`` marks those with the least line of a band."""
+    signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed")
+    agree = reduce(add, [(F.col("sig")[i] == F.col("other")[i]).cast("int") for i in range(len(MASKS))]) >= AGREE
+    x, y = signed.alias("x"), signed.select("band", F.col("id").alias("p"), F.col("sig").alias("other"))
+    few = x.where(F.col("n") <= SMALL).join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") < F.col("p")) & agree)
+    large = signed.where(F.col("n") > SMALL)
+    pivots = large.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min("id").alias("p"))
+    pivots = pivots.select("band", "p").join(y, ["band", "p"])
+    many = large.alias("x").join(pivots.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") != F.col("p")) & agree)
+    met = [part.select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p"), (F.least("id", "p") == F.col("low")).alias("star")) for part in (few, many)]
+    pairs = stage(met[0].unionAll(met[1]).groupBy("id", "p").agg(F.max("star").alias("star")), "likely")
+    unstage(signed)
+    return pairs
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of (id, p) rows."""
-    return rows.where("id != p").select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p")).distinct()
+def two_hops(links: DataFrame) -> DataFrame:
+    """``node, component``: the least line within two links of each. Lines that agree
+    in it are joined; many that don't may be, too."""
+    both = links.unionAll(links.select(F.col("p").alias("id"), F.col("id").alias("p")))
+    near = both.groupBy("id").agg(F.min("p").alias("p")).select("id", F.least("id", "p").alias("m"))
+    other = near.select(F.col("id").alias("m"), F.col("m").alias("far"))
+    return stage(near.join(other, "m").select(F.col("id").alias("node"), F.least("m", "far").alias("component")), "hops")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("id").unionAll(pairs.select("p"))
+def with_roots(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """Pairs (id, p) with the components c and pc of their lines."""
+    one = tree.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    other = tree.select(F.col("node").alias("p"), F.col("component").alias("pc"))
+    both = pairs.join(one, "id", "left").join(other, "p", "left")
+    return both.withColumns({"c": F.coalesce("c", "id"), "pc": F.coalesce("pc", "p")})
+
+
+def joined(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``node, component`` of a tree with links (id, p) added; only
+    components that the links touch are worked on."""
+    if not links.limit(1).count():
+        return tree
+    more = connected_components(with_roots(links, tree).select("c", "pc"), "c", "pc")
+    old = tree.join(more.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    return stage(old.select("node", F.coalesce("root", "component").alias("component")).unionAll(more), "tree")
 
 
 def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (id, p) among ``lines`` (id, a, b, d, sig), whose texts are
-    in ``docs``.
-
-    At first every line of a band is compared with one pivot, the band's least id,
-    and let go if they are linked. In a band of up to ``SMALL`` lines each line that
-    is left is compared with all the others. What is left of larger bands meets
-    again where a second band agrees, too, in the same way, and at last where the
-    whole signature does, until no line is left. That joins families of many copies
-    at a bounded number of comparisons a line, but not all that is similar; so all
-    lines of large bands, linked or not, meet once more in ``crowded``, which is exact.
-    The documents are opened twice, for the sets of the first comparison and for
-    those of all the others.
+    """``node, component``: the components of two and more similar lines among
+    ``lines`` (id, a, b, loc, sig), whose texts are in ``docs``, for every line but
+    the least of each.
+
+    Pairs with the least line of a band are verified first. Of the others, only those
+    of lines that no path joins yet are read. ``crowded`` finds what bands of more than
+    ``SMALL`` lines have left. The documents are opened once.
     """
     spark = docs.sparkSession
-    names = lines.select("id", "a", "b", "d")
     rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    shared = _with_pivots(rows)
+    counted = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+    shared = stage(rows.join(counted.hint("shuffle_hash"), "band"), "bands")
     release(spark)
-    first = likely(_pairs(shared.select("id", "p")), lines)
-    sets = ShingleSets(docs, names.join(_ends(first).distinct(), "id", "left_semi"))
-    found = verified(first, sets)
+    pairs = candidates(shared, lines)
+    large = stage(shared.where(F.col("n") > SMALL).select("band", "id"), "large")
+    unstage(shared)
+    ends = pairs.select("id").unionAll(pairs.select("p")).unionAll(large.select("id")).distinct()
+    sets = ShingleSets(docs, lines.select("id", "a", "b", "loc").join(ends.hint("shuffle_hash"), "id"))
+    first = verified(pairs.where("star"), sets)
+    rest = verified(with_roots(pairs.where("NOT star"), two_hops(first)).where("c != pc"), sets)
+    tree = connected_components(first.unionAll(rest), "id", "p")
+    unstage(pairs)
+    tree = joined(tree, verified(crowded(large, tree, sets), sets))
+    unstage(large)
     sets.drop()
     release(spark)
-
-    crowd = stage(shared.where(F.col("n") > SMALL).select("id").distinct(), "crowd")
-    near, rest = _left_over(shared, found, lines)
-    sets = ShingleSets(docs, names.join(_ends(near).unionAll(crowd).distinct(), "id", "left_semi"))
-    found = found.unionAll(verified(near, sets))
-    finer = [lambda band, sig: F.transform(F.filter(bands(sig), lambda x: x != band), lambda x: F.xxhash64(band, x)), lambda band, sig: F.array(F.xxhash64(sig))]
-    while rest.limit(1).count():
-        split = finer.pop(0) if len(finer) > 1 else finer[0]
-        rows = rest.join(lines.select("id", "sig"), "id").select("id", F.explode(split(F.col("band"), F.col("sig"))).alias("band")).distinct()
-        shared = _with_pivots(rows)
-        links = verified(likely(_pairs(shared.select("id", "p")), lines), sets)
-        near, rest = _left_over(shared, links, lines)
-        found = found.unionAll(links).unionAll(verified(near, sets))
-        release(spark)
-    if crowd.limit(1).count():
-        found = found.unionAll(verified(crowded(crowd, found, sets), sets))
-    unstage(crowd)
-    sets.drop()
-    return found
+    return tree
 
 
-def crowded(crowd: DataFrame, found: DataFrame, sets: ShingleSets) -> DataFrame:
-    """Distinct pairs (id, p) among the lines of ``crowd`` (id) that may be similar
-    and that the links in ``found`` have not joined yet, staged. None is missed.
+def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
+    """Distinct pairs (id, p) of lines of large bands (band, id) that may be similar
+    and that are of different components, staged. None is missed.
 
-    A line of n shingles shares 0.8 n of them at least with any similar line, so if
-    both order their shingles alike (rarest first), they share one of the first
-    n - 0.8 n + 1. Lines that share such a shingle are paired if they are of two
-    components and nothing rules it out: their sizes, the places of the shingle, after
-    which too few may be left, or the bits in which their parities differ, which are
-    never more than the shingles that only one of them has. The lines of a shingle's
-    commonest component are never paired with each other, so a family of copies costs
-    its size only.
+    Bands whose lines are all of one component have nothing left. A line of n shingles
+    shares 0.8 n of them at least with any similar line, so if both order their shingles
+    alike (rarest first), they share one of the first n - 0.8 n + 1. Lines that share
+    such a shingle are paired if they are of two components and nothing rules it out:
+    their sizes, the places of the shingle, after which too few may be left, or the bits
+    in which their parities differ, which are never more than the shingles that only one
+    of them has. The lines of a shingle's commonest component are never paired with each
+    other, so a family of copies costs its size only.
     """
     slack = 1e-6
-    tree = connected_components(found, "id", "p")
-    known = crowd.join(tree, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
-    all_of = stage(known.join(sets.read(), "id").select("id", "c", F.size("set").alias("n"), F.explode("set").alias("h")), "shingles")
-    often = all_of.groupBy("h").agg(F.count("*").alias("often"))
+    named = large.join(tree, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    open_bands = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
+    known = stage(named.join(open_bands, "band", "left_semi").select("id", "c").distinct(), "crowd")
+    every = stage(known.join(sets.read(), "id").select("id", "c", F.size("set").alias("n"), F.explode("set").alias("h")), "shingles")
+    often = every.groupBy("h").agg(F.count("*").alias("often"))
     bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 8) & 63)")
-    parity = [F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(PARITIES)]
-    ordered = all_of.join(often, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"), *parity)
-    length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1
     words = [f"b{i}" for i in range(PARITIES)]
-    prefix = ordered.select("id", "c", "n", *words, F.posexplode(F.slice("hs", 1, length)).alias("at", "e"))
-    heads = stage(prefix.where("e.often > 1").select("id", "c", "n", *words, "at", F.col("e.h").alias("h")), "heads")
-    unstage(all_of)
+    parity = every.groupBy("id").agg(*[F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
+    shared = F.when(F.col("often") > 1, F.struct("often", "h"))
+    ordered = every.join(often.hint("shuffle_hash"), "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(shared)).alias("hs"))
+    # shingles of one line alone are the rarest, and come before those of the list
+    alone = F.col("n") - F.size("hs")
+    length = F.greatest(F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1 - alone, F.lit(0))
+    prefix = ordered.select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("hs", 1, length)).alias("i", "e"))
+    heads = stage(prefix.select("id", "c", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("e.h").alias("h")), "heads")
     held = heads.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
-    split = stage(heads.join(held.where("kinds > 1").select("h", "main"), "h"), "split-heads")
+    split = stage(heads.join(held.where("kinds > 1").select("h", "main"), "h").join(parity, "id"), "split-heads")
     x = split.where("c != main")
     y = split.select("h", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), *[F.col(w).alias(f"p{w}") for w in words])
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words), F.lit(0))
+    differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words])
     size = F.col("n") + F.col("pn")
     met = (
         (x.h == y.h) & (F.col("c") != F.col("pc")) & ((F.col("pc") == F.col("main")) | (F.col("id") < F.col("p")))
@@ -219,75 +259,55 @@ def crowded(crowd: DataFrame, found: DataFrame, sets: ShingleSets) -> DataFrame:
         & (F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= SIMILARITY / (1 + SIMILARITY) * size - slack)
         & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * size + slack)
     )
-    pairs = stage(_pairs(x.join(y, met).select("id", "p")), "crowded")
-    unstage(heads)
-    unstage(split)
+    pairs = stage(x.join(y, met).select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p")).distinct(), "crowded")
+    for used in (known, every, heads, split):
+        unstage(used)
     return pairs
 
 
-def _with_pivots(rows: DataFrame) -> DataFrame:
-    """(band, id) rows of bands of two and more, with the pivot p and the number n."""
-    pivots = rows.groupBy("band").agg(F.min("id").alias("p"), F.count("*").alias("n")).where("n > 1")
-    return stage(rows.join(pivots, "band"), "bands")
-
-
-def _left_over(shared: DataFrame, links: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(likely pairs, rows): of the rows not linked to their pivot, all pairs of
-    those in small bands with any of the band, and the (band, id) in large ones."""
-    tried = shared.where("n > 2 AND id != p").select("band", "id", "p", "n")
-    rest = stage(tried.join(_both_ways(links), ["id", "p"], "left_anti").select("band", "id", "n"), "open")
-    few = shared.where(F.col("n") <= SMALL).select("band", F.col("id").alias("p"))
-    near = likely(_pairs(rest.where(F.col("n") <= SMALL).select("band", "id").join(few, "band").select("id", "p")), lines)
-    unstage(shared)
-    return near, rest.where(F.col("n") > SMALL).select("band", "id")
-
-
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.unionAll(links.select(F.col("p").alias("id"), F.col("id").alias("p")))
-
-
 def line_classes(docs: DataFrame) -> DataFrame:
-    """``a, b, root, first``: for each distinct line (by its two hashes) its class
-    and the first document that has a line of it."""
+    """``a, b, root``, staged: the class of each distinct line that has more than one
+    place or a similar line; no other line can repeat one."""
     distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
     release(docs.sparkSession)
-    tree = connected_components(similar_lines(distinct, docs), "id", "p")
-    named = distinct.select("id", "a", "b", "d").join(tree, distinct.id == tree.node, "left").withColumn("root", F.coalesce("component", "id"))
-    linked = stage(named.select("root", "a", "b", "d"), "line-classes")
+    tree = similar_lines(distinct, docs)
+    roots = tree.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct()
+    named = distinct.select("id", "a", "b", "times").join(tree.unionAll(roots).hint("shuffle_hash"), F.col("id") == F.col("node"), "left")
+    linked = stage(named.where("times > 1 OR node IS NOT NULL").select("a", "b", F.coalesce("component", "id").alias("root")), "line-classes")
     unstage(distinct)
     release(docs.sparkSession)
-    firsts = linked.groupBy("root").agg(F.min("d").alias("first"))
-    return linked.join(firsts, "root").select("a", "b", "root", "first")
+    return linked
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, any other columns) with every line removed that is
-    not the first of its class, in the order of doc_id and place in the text.
-
-    Adds ``n_lines`` and ``n_removed`` (longs; columns so named are replaced).
-    Blank lines are never removed; null texts stay null, empty ones empty, and a
-    text may become empty. No document is dropped. Rows that share a doc_id (null
-    is one, and comes last) count as one document: a line at the same place of each
-    is one line. An empty table gives no rows.
+    not the first of its class, in the order of doc_id, text (by a hash of it, where
+    rows share an id) and place in the text.
+
+    Adds ``n_lines`` and ``n_removed`` (longs; underscores are put before a name that
+    the table has already). Blank lines are never removed; null texts stay null, empty
+    ones empty, and a text may become empty. No document is dropped. Null ids come last.
+    Rows that repeat an id and its text are one document, which each of them shows. An
+    empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    texts = docs.select("doc_id", "text")
-    classes = stage(line_classes(texts), "line-firsts")
-    places = stage(split_lines(texts).select("d", "line_no", "a", "b").join(classes, ["a", "b"]).select("d", "line_no", "root", "first"), "line-places")
+    number, removed, d, t, parts, gone = hide_columns(docs, "n_lines", "n_removed", "d", "t", "parts", "gone")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    classes = line_classes(texts)
+    found = split_lines(texts).select("d", "t", "line_no", "a", "b").join(classes.hint("shuffle_hash"), ["a", "b"])
+    places = stage(found.select("root", F.struct("d", "t", "line_no").alias("at")), "line-places")
+    unstage(classes)
     release(docs.sparkSession)
-    own = places.where("first = d").groupBy("d", "root").agg(F.min("line_no").alias("keep"))
-    later = places.where("first != d").select("d", "line_no").unionAll(
-        places.where("first = d").join(own, ["d", "root"]).where("line_no != keep").select("d", "line_no")
-    )
-    gone = later.groupBy(F.col("d").alias("__d")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("__d"), "left")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.size(F.filter("__gone", lambda i: i < F.size(parts))).cast("long")
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(parts).cast("long"), F.lit(0)), "n_removed": F.coalesce(removed, F.lit(0))})
-    # apart from the counts: a lambda would read the column's new text
-    return counted.withColumn("text", text).drop("__d", "__gone")
+    # written out, so that a class that holds many rows can be divided in the join
+    firsts = stage(places.groupBy("root").agg(F.min("at").alias("first")), "line-first")
+    later = places.join(firsts, "root").where("at != first").select("at.*")
+    lists = later.groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_set("line_no").alias(gone))
+    # texts travel as their lines, so that these are split once and read by place
+    keys = {d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t: document_key(), parts: F.split(F.col("text").cast("string"), "\n")}
+    rest = docs.withColumns(keys).drop("text").join(lists.hint("shuffle_hash"), [d, t], "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
+    text = F.array_join(F.when(F.col(gone).isNull(), F.col(parts)).otherwise(kept), "\n")
+    counts = {number: F.coalesce(F.size(parts), F.lit(0)).cast("long"), removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return rest.withColumns(counts | {"text": text}).select(*[f"`{c}`" for c in docs.columns], number, removed)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,15 @@ with each batch as they lie and compacted into one when there are too many.
 * Window runs. Windows with a repeated anchor are verified: a 128-bit digest of all
   their 20 words is kept with the first document that has it. A document whose anchor
   is met for the second time is read again, once, to add its own windows.
+
+The runs and a manifest lie in a folder that outlives the session: ``SubstringIndex``
+opens it again and takes further batches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_path, map_arrow, new_path, release, stage, unstage
+from pixelarium.sources import files
+
+from .common import documents, drop_path, drop_table, map_arrow, new_path, release, stage, unstage, write_bucketed
 
 WINDOW, GRAM = 20, 8
-NULL_ID = (1 << 63) - 1
+NULL_ID, NULL_PLACES = (1 << 63) - 1, 1 << 48
 SPACES = np.zeros(256, np.int8)
 SPACES[[0x20, *range(0x09, 0x0E)]] = 1
 
@@ -161,26 +167,34 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["d", "n_removed", "kept_sha", "kept"])
 
 
-def _write_bucketed(df: DataFrame, keys: list[str], name: str) -> tuple[str, str]:
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    return table, path
-
-
 class RunIndex:
-    """Sorted immutable runs of one key and the values merged over them."""
-
-    def __init__(self, spark: SparkSession, name: str, keys: list[str], values: dict[str, str], most_runs: int = 2):
-        self.spark, self.name, self.keys, self.values, self.most_runs = spark, name, keys, values, most_runs
-        self.runs: list[tuple[str, str]] = []
+    """Sorted immutable runs of one key and the values merged over them. Runs are
+    tables bucketed and sorted by the key, ``(table, path, buckets)`` each."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, keys: list[str], values: dict[str, str], most_runs: int = 2):
+        self.spark, self.folder, self.name, self.keys, self.values, self.most_runs = spark, folder, name, keys, values, most_runs
+        self.runs: list[list] = []
+
+    def write(self, df: DataFrame, dealt: bool) -> list:
+        """``dealt``: whether rows lie by key already, as after a join of runs."""
+        table = f"{self.name}_{uuid.uuid4().hex[:12]}"
+        path, buckets = f"{self.folder}/{table}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = (df if dealt else df.repartition(buckets, *self.keys)).write.bucketBy(buckets, *self.keys).sortBy(*self.keys)
+        writer.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+        return [table, path, buckets]
+
+    def attach(self, runs: list[list]) -> None:
+        """Makes runs that another session wrote known to this one's catalogue."""
+        for table, path, buckets in runs:
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema.fields)
+            key = ", ".join(self.keys)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.runs = [list(r) for r in runs]
 
     def look_up(self, batch: DataFrame) -> DataFrame:
         """``batch`` plus ``old_<value>``, null where no run has the key: one merge
         join for each run."""
-        for i, (table, _) in enumerate(self.runs):
+        for i, (table, *_) in enumerate(self.runs):
             run = self.spark.table(table).select(*self.keys, *[F.col(v).alias(f"r{i}_{v}") for v in self.values])
             batch = batch.join(run, self.keys, "left")
         merged = {}
@@ -192,16 +206,16 @@ class RunIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Appends a run, returns it as written."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs.append(_write_bucketed(batch.repartition(buckets, *self.keys), self.keys, self.name))
+        self.runs.append(self.write(batch, False))
         return self.spark.table(self.runs[-1][0])
 
-    def compact(self) -> None:
-        """Merges all runs into one when there are more than ``most_runs``."""
+    def compact(self) -> list[list]:
+        """Merges all runs into one when there are more than ``most_runs``; returns
+        the runs that it replaces, which are still there."""
         if len(self.runs) <= self.most_runs:
-            return
+            return []
         merged = None
-        for table, _ in self.runs:
+        for table, *_ in self.runs:
             run = self.spark.table(table).select(*self.keys, *self.values)
             if merged is None:
                 merged = run
@@ -209,15 +223,8 @@ class RunIndex:
             other = run.select(*self.keys, *[F.col(v).alias(f"new_{v}") for v in self.values])
             pick = {v: (F.least if how == "min" else F.greatest)(F.col(v), F.col(f"new_{v}")) for v, how in self.values.items()}
             merged = merged.join(other, self.keys, "full").select(*self.keys, *[p.alias(v) for v, p in pick.items()])
-        done = _write_bucketed(merged, self.keys, self.name)
-        self.drop()
-        self.runs = [done]
-
-    def drop(self) -> None:
-        for table, path in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-            drop_path(self.spark, path)
-        self.runs = []
+        old, self.runs = self.runs, [self.write(merged, True)]
+        return old
 
 
 def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -231,10 +238,61 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], total: int)
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table, keys))
 
 
-def _bounds(docs: DataFrame, batches: int) -> list[int]:
-    """Largest d of each batch but the last: equal shares of the documents."""
-    cuts = docs.agg(F.percentile_approx("d", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] if batches > 1 else []
-    return sorted(set(cuts or []))
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``d, text``: null ids get places after all others, one for each text."""
+    whole = F.col(text).cast("string")
+    own = F.lit(NULL_ID) - F.xxhash64(whole).bitwiseAND(F.lit(NULL_PLACES - 1))
+    return docs.select(F.coalesce(F.col(key).cast("long"), own).alias("d"), whole.alias("text"))
+
+
+def _bounds(docs: DataFrame, batches: int, key: str) -> list[int]:
+    """Largest id of each batch but the last: equal shares of the documents."""
+    own = F.col(key).cast("long")
+    found = docs.agg(F.percentile_approx(own, [i / batches for i in range(1, max(2, batches))], 10_000).alias("c"), F.max(own).alias("m")).first()
+    if found.m is not None and found.m > NULL_ID - NULL_PLACES:
+        raise ValueError(f"ids must not be above {NULL_ID - NULL_PLACES}")
+    return sorted(set(found.c or [])) if batches > 1 else []
+
+
+class SubstringIndex:
+    """The index of all batches added so far, in a folder that any session can open.
+
+    ``add`` looks a batch up and adds it, and writes the manifest last: a session that
+    is lost in between leaves the index as it was before the batch. Batches come in the
+    order of doc_id.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.last = spark, folder, None
+        self.anchors = RunIndex(spark, folder, "anchors", ["h"], {"doc": "min", "shared": "max"})
+        self.windows = RunIndex(spark, folder, "windows", ["high", "low"], {"first": "min"})
+        if known := files.read_json(spark, f"{folder}/manifest.json"):
+            self.last = known["last"]
+            self.anchors.attach(known["anchors"])
+            self.windows.attach(known["windows"])
+
+    def add(self, docs: DataFrame, earlier: DataFrame | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The result of :func:`deduplicate_substrings` for ``docs``, as it would be
+        with all earlier batches before them. ``earlier`` has those documents (others,
+        too, it may be the whole corpus): a text in which an anchor was met once is
+        read again when it is met for the second time. Needed but in the first call."""
+        if self.last is not None and earlier is None:
+            raise ValueError("the earlier documents are needed")
+        known = None if earlier is None else _keyed(earlier, key, text)
+        done, top = _take_in(known, _keyed(docs, key, text), self.last, self.anchors, self.windows)
+        self.last = top if self.last is None or (top is not None and top > self.last) else self.last
+        old = self.anchors.compact() + self.windows.compact()
+        files.write_json(self.spark, f"{self.folder}/manifest.json", {"last": self.last, "anchors": self.anchors.runs, "windows": self.windows.runs})
+        for table, path, _ in old:
+            drop_table(self.spark, table, path)
+        release(self.spark)
+        real = F.when(F.col("d") <= NULL_ID - NULL_PLACES, F.col("d"))
+        return done.select(real.alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+
+    def drop(self) -> None:
+        for table, path, _ in self.anchors.runs + self.windows.runs:
+            drop_table(self.spark, table, path)
+        drop_path(self.spark, self.folder)
 
 
 def deduplicate_substrings(docs: DataFrame, *, batches: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,33 +302,30 @@ def deduplicate_substrings(docs: DataFrame, *, batches: int = 4, key: str = "doc
 
     A word goes if a window of 20 words covers it that starts earlier, too: in a
     document of smaller id, or before in the same. Null texts have no words; null
-    ids come last and count as one document, as rows sharing an id do (windows at
-    the same start of such rows are one). An empty table gives no rows.
+    ids come last, in the order of a hash of their texts, and those of one text count
+    as one document, as rows sharing an id do (windows at the same start of such rows
+    are one). An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text).cast("string").alias("text"))
-    bounds = _bounds(docs, batches)
-    anchors = RunIndex(spark, "anchors", ["h"], {"doc": "min", "shared": "max"})
-    windows = RunIndex(spark, "windows", ["high", "low"], {"first": "min"})
-    results = []
+    bounds = _bounds(docs, batches, key)
+    index = SubstringIndex(spark, new_path(spark, "substrings"))
+    own, out = F.col(key).cast("long"), None
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        batch = docs if low is None else docs.where(F.col("d") > low)
-        batch = batch if high is None else batch.where(F.col("d") <= high)
-        results.append(_take_in(docs, batch, low, anchors, windows))
-        anchors.compact()
-        windows.compact()
-        release(spark)
-    anchors.drop()
-    windows.drop()
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionAll(r)
-    return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
-
-
-def _take_in(docs: DataFrame, batch: DataFrame, low: int | None, anchors: RunIndex, windows: RunIndex) -> DataFrame:
+        batch = docs if low is None else docs.where((own > low) if high is not None else (own > low) | own.isNull())
+        batch = batch if high is None else batch.where(own <= high)
+        part = index.add(batch, docs, key=key, text=text)
+        out = part if out is None else out.unionAll(part)
+    index.drop()
+    return out
+
+
+def _take_in(docs: DataFrame | None, batch: DataFrame, low: int | None, anchors: RunIndex, windows: RunIndex) -> tuple[DataFrame, int | None]:
+    """The batch's result and its last place."""
     spark = docs.sparkSession
     read = stage(map_arrow(batch, _read, "d long, n_words long, sha string, anchors array<long>"), "read")
+    span = read.agg(F.min("d").alias("least"), F.max("d").alias("top"), F.sum(F.size("anchors")).alias("n")).first()
+    if low is not None and span.least is not None and span.least <= low:
+        raise ValueError(f"ids must be above {low}, the last in the index")
     places = read.select("d", F.explode("anchors").alias("h"))
     keys = places.groupBy("h").agg(F.min("d").alias("new_doc"), F.count("*").alias("n"))
     seen = anchors.look_up(keys).select(
@@ -281,7 +336,7 @@ def _take_in(docs: DataFrame, batch: DataFrame, low: int | None, anchors: RunInd
         F.when(F.col("old_shared") == 0, F.col("old_doc")).alias("reopen"),
     )
     run = anchors.add(seen)
-    total = read.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    total = span.n or 0
 
     repeated = run.where("shared = 1")
     wanted = join_spread(places, repeated.select("h", "n"), ["h"], total).select("d", "h")
@@ -295,7 +350,7 @@ def _take_in(docs: DataFrame, batch: DataFrame, low: int | None, anchors: RunInd
             # 8 bytes an id: a list of up to a million is broadcast
             sources = sources.unionAll(docs.where(F.col("d") <= low).join(F.broadcast(old) if n <= 1_000_000 else old, "d", "left_semi"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table, path = _write_bucketed(sources.join(needs, "d").repartition(buckets, "d"), ["d"], "texts")
+    table, path = write_bucketed(sources.join(needs, "d").repartition(buckets, "d"), ["d"], "texts")
     texts = spark.table(table)
 
     found = stage(map_arrow(texts.select("d", "text", "seen"), _windows, "high long, low long, d long, start int, again boolean"), "windows")
@@ -314,11 +369,10 @@ def _take_in(docs: DataFrame, batch: DataFrame, low: int | None, anchors: RunInd
         "d", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), "kept"
     )
     done = stage(done, "kept")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    drop_path(spark, path)
+    drop_table(spark, table, path)
     unstage(found)
     unstage(read)
-    return done
+    return done, span.top
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,32 @@ def test_substrings_edges(spark):
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_removed) for r in got) == [((False, 1), 0), ((False, 7), 0), ((False, 7), 0), ((True, 0), 30)]
 
 
+def test_substring_index_outlives_the_call(spark, tmp_path):
+    """Three calls, each over a reopened folder, equal one call over all."""
+    rows = corpus(90)
+    df, folder = frame(spark, rows), f"file://{tmp_path}/index"
+    found = []
+    for low, high in ((0, 30), (30, 61), (61, 90)):
+        part = df.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        index = substrings.SubstringIndex(spark, folder)
+        found += index.add(part, df.where(F.col("doc_id") < low)).collect()
+        for table, *_ in index.anchors.runs + index.windows.runs:
+            spark.sql(f"DROP TABLE {table}")  # as in a new session, whose catalogue is empty
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == brute_windows(rows)
+    assert len(substrings.SubstringIndex(spark, folder).anchors.runs) == 1
+    with pytest.raises(ValueError, match="above"):
+        substrings.SubstringIndex(spark, folder).add(df.where("doc_id = 89"), df)
+    substrings.SubstringIndex(spark, folder).drop()
+
+
+def test_substrings_of_rows_without_ids(spark):
+    rng = random.Random(3)
+    shared = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, f"{i} {shared} tail{i} " + " ".join(rng.choices("abcdefgh", k=5)), "", "", 0) for i in range(40)]
+    got = substrings.deduplicate_substrings(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == {None} and sorted(r.n_removed for r in got) == [0] + [30] * 39
+
+
 @pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 17, 40])
 def test_word_hashes_depend_on_words_alone(size):
     a, b = b"q" * size, b"q" * (size - 1) + b"r"
@@ -116,28 +142,74 @@ def test_lines_keep_columns_and_blanks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
     got = {r.doc_id: r for r in lines.deduplicate_lines(df).collect()}
     assert got[1].text == rows[0][1] and got[2].text == "" and got[2].n_removed == 1
-    assert got[None].text is None and got[3].text == "" and got[3].n_lines == 1
+    assert got[None].text is None and got[3].text == "" and got[3]._n_lines == 1 and got[3].n_lines == 8
     assert lines.deduplicate_lines(df.limit(0)).count() == 0
 
 
-def test_lines_hot_band_of_unlike_lines(spark):
-    """Many lines that share much, but not enough: rounds end, nothing is lost."""
+def hot_family(pairs: int, shared: int, own: int, edit: int) -> list[str]:
+    """2 x pairs lines with one long passage in common; each second one differs from
+    the line before it by an edit, and from all others by far more."""
     rng = random.Random(9)
-    shared = "".join(rng.choices("abcdefgh", k=60))
-    rows = [(i, shared + "".join(rng.choices("ijklmnop", k=60)), "", "", 0) for i in range(40)]
-    rows += [(100 + i, rows[i][1][:-1] + "!", "", "", 0) for i in range(40)]
-    got = {r.doc_id: r.text for r in lines.deduplicate_lines(frame(spark, rows)).collect()}
-    want = brute_lines(rows)
-    assert sum(got[d] != want[d] for d in want) <= 2
+    text = lambda letters, k: "".join(rng.choices(letters, k=k))
+    common, out = text("abcdefghijklmnopqrstuvwxyz ", shared), []
+    for _ in range(pairs):
+        mine = text("ABCDEFGHIJKLMNOPQRSTUVWXYZ", own)
+        out += [common + mine, common + mine[: own - edit] + text("0123456789", edit)]
+    return out
+
+
+def similarity(x: str, y: str) -> float:
+    x, y = ({t[i : i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("shared", [330, 400])
+def test_lines_recall_in_hot_bands(spark, shared):
+    """All lines meet in the same bands; only pairs at 0.8 to 0.85 are similar."""
+    texts = hot_family(400, shared, 100, 38 + shared // 100)
+    likeness = [similarity(texts[i], texts[i + 1]) for i in range(0, 800, 2)]
+    assert min(likeness) >= 0.8 and max(likeness) < 0.85 and 0.55 < similarity(texts[0], texts[2]) < 0.7
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate_lines(frame(spark, rows)).collect()}
+    assert not any(got[i] for i in range(0, 800, 2))
+    assert sum(got[i] for i in range(1, 800, 2)) >= 0.97 * 400
+
+
+def test_lines_recall_of_pairs(spark):
+    """Pairs at 0.8 to 0.85 that share nothing with other lines, short ones included."""
+    rng, texts = random.Random(5), []
+    while len(texts) < 600:
+        n = rng.choice([25, 60, 200, 600])
+        base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)).strip() + "."
+        for edit in range(1, n):
+            other = base[: len(base) - edit] + "0" * edit
+            if similarity(base, other) < 0.85:
+                break
+        if similarity(base, other) >= 0.8:
+            texts += [base, other]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate_lines(frame(spark, rows)).collect()}
+    assert not any(got[i] for i in range(0, 600, 2))
+    assert sum(got[i] for i in range(1, 600, 2)) >= 0.95 * 300
+
+
+def test_lines_of_repeated_rows_and_ids(spark):
+    """Null ids come last, repeated rows show the same, rows of one id are apart."""
+    x, y, z = "the first line of a text that is long", "quite another line of some other text", "and the third of these unlike lines!"
+    rows = [(None, f"{x}\n{z}", 1, "a"), (None, f"{x}\n{z}", 2, "b"), (4, f"{y}\n{x}", 3, "c"), (4, f"{y}\n{x}", 3, "c"), (5, f"{y}\n{y}\n", 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d int, Gone string").repartition(3)
+    got = sorted((r.doc_id or 99, r.text, r.n_lines, r.n_removed, r.d, r.Gone) for r in lines.deduplicate_lines(df).collect())
+    assert got == [(4, f"{y}\n{x}", 2, 0, 3, "c")] * 2 + [(5, "", 3, 2, 4, "d"), (99, z, 2, 1, 1, "a"), (99, z, 2, 1, 2, "b")]
 
 
 def test_line_shingles_of_long_lines(spark):
-    text = "".join(random.Random(2).choices("abcé ", k=9000))
-    df = spark.createDataFrame([(text,), ("short",), ("abcdefgh",)], "line string")
-    got = [r.h for r in df.select(lines.shingle_hashes(df.line).alias("h")).collect()]
-    assert [len(h) for h in got] == [9000 - 7, 1, 1]
-    want = spark.createDataFrame([(text[i : i + 8],) for i in range(0, 8993, 997)], "s string").selectExpr("hash(s) AS h").collect()
-    assert {r.h for r in want} <= set(got[0])
+    text = "".join(random.Random(2).choices("abcé 😀", k=9000))
+    df = spark.createDataFrame([(0, text), (1, "short"), (2, "abcdefgh")], "id long, line string").select("id", F.encode("line", "UTF-32").alias("chars"))
+    got = [set(r.set) for r in lines.shingle_sets(df).orderBy("id").collect()]
+    for own, line in zip(got, (text, "short", "abcdefgh"), strict=True):
+        cut = {line[i : i + 8] for i in range(max(1, len(line) - 7))}
+        want = spark.createDataFrame([(x,) for x in cut], "s string").select(F.hash(F.encode("s", "UTF-32")).alias("h")).collect()
+        assert own == {r.h for r in want}
 
 
 def brute_simhash(text):
@@ -242,7 +314,7 @@ def test_components(spark):
 
 
 def test_lines_large_band_around_a_pivot(spark):
-    """Lines similar to others of a crowded band, but not to its pivot, are found."""
+    """Lines similar to others of a crowded band, but not to its pivots, are found."""
     rng = random.Random(4)
     shared = "".join(rng.choices("abcdefgh", k=150))
     texts = []
@@ -250,15 +322,17 @@ def test_lines_large_band_around_a_pivot(spark):
         own = shared + "".join(rng.choices("ijklmnop", k=26))
         texts += [own, own[:-14] + "".join(rng.choices("qrstuvwx", k=14))]
     rng.shuffle(texts)
-    rows = [(i, x, "", "", 0) for i, x in enumerate(texts)]
-    distinct = lines.signatures(lines.split_lines(frame(spark, rows))).withColumn("id", F.monotonically_increasing_id())
+    docs = frame(spark, [(i, x, "", "", 0) for i, x in enumerate(texts)])
+    number = {r.t: r.d for r in lines.split_lines(docs).collect()}
+    distinct = lines.signatures(lines.split_lines(docs)).withColumn("id", F.monotonically_increasing_id())
     distinct = stage(distinct, "test-lines")
-    number = {r.id: r.d for r in distinct.collect()}
+    named = distinct.join(lines.split_lines(docs).select("a", "b", "t"), ["a", "b"])
+    number = {r.id: number[r.t] for r in named.collect()}
     crowd = {}
     for r in distinct.select("id", F.explode(lines.bands(F.col("sig"))).alias("band")).collect():
         crowd.setdefault(r.band, set()).add(number[r.id])
-    links = connected_components(lines.similar_lines(distinct, frame(spark, rows)), "id", "p").collect()
-    root = {number[r.node]: r.component for r in links} | {number[r.component]: r.component for r in links}
+    tree = lines.similar_lines(distinct, docs).collect()
+    root = {number[r.node]: r.component for r in tree} | {number[r.component]: r.component for r in tree}
     sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in texts]
     alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
     pairs = {(x, y) for b in crowd.values() if len(b) > lines.SMALL for x in b for y in b if x < y and alike(x, y)}
