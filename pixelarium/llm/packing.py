@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, rank_within, stage
+from .common import documents, hide_columns, map_arrow, rank_within, stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,8 +38,8 @@ def byte_letters() -> dict[str, int]:
 
 
 def load_tokenizer(path: str) -> Callable[[str], bytes]:
-    """Ids of a whole text as little-endian unsigned 32-bit bytes, strings of
-    special tokens being ordinary text.
+    """Ids of a whole text as little-endian unsigned 32-bit bytes; strings of added
+    tokens get those tokens' ids, as in the library.
 
     The file is one of the ``tokenizers`` library, and so are the ids. A byte-level
     vocabulary lists its merges in order of rank, so its own ids serve as the ranks
@@ -51,11 +51,13 @@ def load_tokenizer(path: str) -> Callable[[str], bytes]:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens that take in or ask for blanks beside them are not supported")
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-        _LOADED[path] = lambda text: encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
+        _LOADED[path] = lambda text: encode(text, allowed_special="all").astype("<u4", copy=False).tobytes()
     return _LOADED[path]
 
 
@@ -133,7 +135,8 @@ def pack(pieces: DataFrame, *, sequence: int = 2048, order: tuple[str, ...] = ("
     ``sequence_id`` and ``offset``.
 
     Equal lengths are ranked in salted parts, so a length that holds most of the
-    pieces is spread over tasks. Repeated rows are separate pieces. An empty table
+    pieces is spread over tasks. Repeated rows are separate pieces. Columns that are
+    named like the two new ones are replaced, as packing anew means. An empty table
     gives no rows; a length outside the range is an error.
     """
     spark = pieces.sparkSession
@@ -141,22 +144,32 @@ def pack(pieces: DataFrame, *, sequence: int = 2048, order: tuple[str, ...] = ("
     if histogram and not (1 <= min(histogram) and max(histogram) <= sequence):
         raise ValueError(f"lengths must be from 1 to {sequence}")
     slots = plan_best_fit(histogram, sequence)
-    shape = "_length long, _lo long, _number long, _base long, offset long"
+    own, lo, number, base, rank = hide_columns(pieces, "planned_length", "lo", "number", "base", "rank")
+    pieces = pieces.drop("sequence_id", "offset")
+    shape = f"{own} long, {lo} long, {number} long, {base} long, offset long"
     plan = spark.createDataFrame(slots, shape)
     if len(slots) <= 1_000_000:  # 40 MB; the plan follows the distinct lengths
         plan = F.broadcast(plan)
-    ranked = rank_within(pieces, "length", F.xxhash64(*order), list(order), "_rank")
-    at = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_number"))
-    return ranked.join(plan, at).withColumn("sequence_id", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_length", "_lo", "_number", "_base", "_rank")
+    ranked = rank_within(pieces, "length", F.xxhash64(*order), list(order), rank)
+    at = (F.col("length") == F.col(own)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(lo) + F.col(number))
+    return ranked.join(plan, at).withColumn("sequence_id", F.col(base) + F.col(rank) - F.col(lo)).drop(own, lo, number, base, rank)
 
 
 def pack_documents(docs: DataFrame, sequence: int = 2048) -> DataFrame:
+    """One row per piece of each of ``docs`` (doc_id, text): ``doc_id, piece, start,
+    length, ids_crc32, sequence_id, offset``.
+
+    A null or empty text is one piece, its end id. A null doc_id stays null, and rows
+    that repeat an id are packed each on its own. Other columns are not read. An empty
+    table gives no rows.
+    """
     pieces = stage(tokenised_pieces(docs, sequence=sequence), "pieces")
     packed = pack(pieces, sequence=sequence)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents; edge cases as in :func:`pack_documents`."""
     return pack_documents(documents(spark, sf_dir))
 
 
