@@ -15,7 +15,7 @@ from .common import documents, hide_columns, stage
 
 SHINGLE = 3
 #: One hash in so many is kept: those from 0 to 2**64 / SCALE, a fixed fraction.
-SCALE = 4
+SCALE = 8
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\u000b\f\r"
 
@@ -26,15 +26,39 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
 
-def sketch(words: Column) -> Column:
-    """Sorted distinct kept hashes of a materialised array of words. Fewer words
-    than a shingle make one shingle; no words make an empty sketch."""
+def hashes(words: Column) -> Column:
+    """Distinct hashes of the shingles of a materialised array of words. Fewer words
+    than a shingle make one shingle; no words make none."""
     n = F.greatest(F.size(words) - (SHINGLE - 1), F.least(F.size(words), F.lit(1)))
     rows = F.arrays_zip(
         F.slice(words, 1, n).alias("a"), *[F.slice(words, i + 1, n).alias(c) for i, c in zip(range(1, SHINGLE), "bcdefgh", strict=False)]
     )
-    hashed = F.transform(rows, lambda z: F.xxhash64(*[z[c] for c in "abcdefgh"[:SHINGLE]]))
-    return F.sort_array(F.array_distinct(F.filter(hashed, lambda h: (h >= 0) & (h < (1 << 64) // SCALE))))
+    return F.array_distinct(F.transform(rows, lambda z: F.xxhash64(*[z[c] for c in "abcdefgh"[:SHINGLE]])))
+
+
+def _below(hashed: Column) -> Column:
+    return F.filter(hashed, lambda h: (h >= 0) & (h < (1 << 64) // SCALE))
+
+
+def _sketch(hashed: Column, below: Column) -> Column:
+    return F.sort_array(F.when((F.size(below) == 0) & (F.size(hashed) > 0), F.array(F.array_min(hashed))).otherwise(below))
+
+
+def sketched(df: DataFrame, columns: dict[str, str], words: dict[str, str]) -> DataFrame:
+    """Columns of ``df`` by new name, and the sketches of columns of words by new name:
+    sorted distinct hashes below the fixed fraction or, if a text has others only, its
+    least. A text that has words has a sketch that is not empty. Each step is a
+    projection of its own, so that no text is hashed twice."""
+    kept = [F.col(c).alias(n) for n, c in columns.items()]
+    df = df.select(*kept, *[hashes(F.col(w)).alias(f"h_{n}") for n, w in words.items()])
+    df = df.select(*columns, *[f"h_{n}" for n in words], *[_below(F.col(f"h_{n}")).alias(f"b_{n}") for n in words])
+    return df.select(*columns, *[_sketch(F.col(f"h_{n}"), F.col(f"b_{n}")).alias(n) for n in words])
+
+
+def sketch(words: Column) -> Column:
+    """A sketch in one expression."""
+    hashed = hashes(words)
+    return _sketch(hashed, _below(hashed))
 
 
 def spelled(sketch: Column) -> Column:
@@ -43,12 +67,15 @@ def spelled(sketch: Column) -> Column:
 
 
 def merged(sketches: Column) -> Column:
-    """The sketch of all texts of an array of sketches together."""
-    return F.sort_array(F.array_distinct(F.flatten(sketches)))
+    """The sketch of all texts of an array of sketches together: the hashes below the
+    fraction, or the least of the texts' least ones."""
+    every = F.array_distinct(F.flatten(sketches))
+    return _sketch(every, _below(every))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; 1 for two empty sketches."""
+    """Estimated Jaccard similarity; 1 for two empty sketches, which only texts without
+    words have, and 0 for an empty one and another."""
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
@@ -59,43 +86,52 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def range_buckets(df: DataFrame, key: str, bytes_: Column, bucket_bytes: int) -> tuple[Column, int]:
-    """A column that numbers ranges of an integer key, each of about
-    ``bucket_bytes``, and their number. Only the bounds reach the driver; a row
-    finds its range among them in two short steps."""
+def range_buckets(df: DataFrame, key: str, tie: str, bytes_: Column, bucket_bytes: int, least_ranges: int = 32) -> Column:
+    """A column that numbers ranges of (key, tie), each of about ``bucket_bytes`` (of
+    more where 20,000 ranges don't suffice; then ranges are sorted on disk). A key that
+    holds many rows is a cut more than once, and its rows are divided by ``tie``, a
+    hash. Only the cuts reach the driver; a row finds its place among them in two short
+    steps."""
     total = df.agg(F.sum(bytes_).alias("b"), F.count(key).alias("n")).first()
-    ranges = max(1, min(-(-(total["b"] or 0) // bucket_bytes), total["n"] or 1, 20_000))
+    ranges = max(1, min(max(-(-(total["b"] or 0) // bucket_bytes), least_ranges), total["n"] or 1, 20_000))
     if ranges == 1:
-        return F.lit(0), 1
-    cuts = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"]
-    cuts = sorted(set(cuts))
+        return F.lit(0)
+    cuts = sorted(df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"])
     step = max(1, int(len(cuts) ** 0.5))
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda c: c < F.col(key))), F.lit(0))
-    coarse = below(array(cuts[step - 1 :: step]))
-    return coarse * step + below(F.slice(array(cuts), coarse * step + 1, F.lit(step))), len(cuts) + 1
+
+    def number(before) -> Column:
+        count = lambda xs: F.coalesce(F.size(F.filter(xs, before)), F.lit(0))
+        coarse = count(array(cuts[step - 1 :: step]))
+        return coarse * step + count(F.slice(array(cuts), coarse * step + 1, F.lit(step)))
+
+    low, high = number(lambda c: c < F.col(key)), number(lambda c: c <= F.col(key))
+    part = (F.shiftright(tie, 32) + F.lit(1 << 31)) * (high - low + 1)
+    return (low + F.shiftright(part, 32)).cast("int")
 
 
 def with_next(df: DataFrame, *, key: str, text: str, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, str]:
     """``df`` plus the text of the row that follows by descending key (rows
-    without a key last, equal keys by text), the first row following the last.
+    without a key last; of equal keys, by descending hash of the text, and by text
+    if that agrees), the first row following the last.
 
-    Rows move once, to ranges of the key; inside a range the next row is read off
+    Rows move once, to ranges of key and hash; inside a range the next row is read off
     the order, and the last row of a range finds the first of the following one
-    in a table of one row per range. Rows that share one key stay in one range.
+    in a table of one row per range. Rows of one key are spread over ranges; only those
+    that repeat key and text stay in one.
     """
-    bucket, after, last, at = hide_columns(df, "bucket", "after", "last", "at")
-    number, _ = range_buckets(df, key, F.octet_length(text).cast("long") + 16, bucket_bytes)
-    placed = df.withColumn(bucket, number.cast("int"))
-    order = Window.partitionBy(bucket).orderBy(F.desc_nulls_last(key), F.desc(text))
+    bucket, after, last, at, order_key, tie, head, number, following = hide_columns(df, "bucket", "after", "last", "at", "order_key", "tie", "head", "number", "following")
+    keyed = df.withColumns({order_key: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64(key, text)})
+    placed = keyed.withColumn(bucket, range_buckets(keyed, order_key, tie, F.octet_length(text).cast("long") + 16, bucket_bytes))
+    order = Window.partitionBy(bucket).orderBy(F.desc_nulls_last(key), F.desc(tie), F.desc(text))
     seen = placed.withColumns({after: F.lead(text).over(order), at: F.row_number().over(order), last: F.lead(F.lit(1)).over(order).isNull()})
-    heads = stage(seen.where(F.col(at) == 1).select(F.col(bucket).alias("_b"), F.col(text).alias("_head")), "heads")
+    heads = stage(seen.where(F.col(at) == 1).select(F.col(bucket).alias(number), F.col(text).alias(head)), "heads")
     # one row per range
-    falling = Window.orderBy(F.desc("_b"))
-    lowest = heads.agg(F.min("_b").alias("m")).first()["m"]
-    follow = heads.select(F.coalesce(F.lag("_b").over(falling), F.lit(lowest)).cast("int").alias("_for"), "_head")
-    joined = seen.join(follow, (F.col(bucket) == F.col("_for")) & F.col(last), "left")
-    return joined.withColumn(after, F.coalesce(after, "_head")).drop("_for", "_head", bucket, last, at), after
+    falling = Window.orderBy(F.desc(number))
+    lowest = heads.agg(F.min(number).alias("m")).first()["m"]
+    follow = heads.select(F.coalesce(F.lag(number).over(falling), F.lit(lowest)).cast("int").alias(following), head)
+    joined = seen.join(follow, (F.col(bucket) == F.col(following)) & F.col(last), "left")
+    return joined.withColumn(after, F.coalesce(after, head)).select(*[f"`{c}`" for c in df.columns], after), after
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +149,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         words(F.col("edited")).alias("we"),
         words(F.col(after)).alias("wn"),
     )
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", *[sketch(F.col(w)).alias(f"s_{w}") for w in ("w", "we", "wn")])
+    own = {c: c for c in ("doc_id", "n_chars", "edited_sha256")}
+    rows = sketched(rows, own, {"s_w": "w", "s_we": "we", "s_wn": "wn"})
     return rows.select(
         "doc_id",
         "n_chars",
