@@ -112,14 +112,14 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def is_training(doc_id) -> F.Column:
-    """Whether a row's label may be learned from: crc32 of its id mod 3 is not 1."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
+def is_held_out(doc_id) -> F.Column:
+    """Whether crc32 of a row's id mod 3 is 1; a null id has no remainder and is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """``text, toxic`` of at most ``most`` labelled rows, by a hash of doc_id."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(is_training(F.col("doc_id")))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` pairs of numbers
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string").alias("text"), F.col("__toxic").cast("int").alias("toxic"))
@@ -227,21 +227,21 @@ def _calibrate(lexicon: Lexicon, x: np.ndarray, y: np.ndarray, ridge: float = 0.
     lexicon.bias, lexicon.by_sum, lexicon.by_rate = map(float, w)
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (double, 0 to 1), replaced if there.
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` (double, 0 to 1), replaced if there.
 
     Null and empty texts are scored as texts without hits. Rows are neither added
     nor dropped; an empty table gives no rows.
     """
-    fields = [f for f in docs.schema.fields if f.name != "toxicity"]
-    shape = "struct<" + ",".join([*(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields), "toxicity:double"]) + ">"
+    fields = [f for f in docs.schema.fields if f.name != name]
+    shape = "struct<" + ",".join([*(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields), f"`{name}`:double"]) + ">"
     at = [f.name for f in fields].index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             found = [lexicon.score(lexicon.features(fold(t.as_py()), automaton)) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
     return map_arrow(docs.select(*[F.col(f"`{f.name}`") for f in fields]), run, shape)
 
@@ -250,7 +250,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     lexicon = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, lexicon).select(
-        "doc_id", (~is_training(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
     )
 
 
