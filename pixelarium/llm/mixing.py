@@ -10,17 +10,18 @@ into ranges of a seeded hash, which pick whole documents without sorting them.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, stage
+from .common import WORD, documents, hide_columns, stage
 
 HASH_BITS, DIGIT_BITS = 48, 8
 #: Offsets looked for in one query, each with 256 sums at most; more take more queries.
 ASKED = 2000
-NULL_SOURCE, SEP = "~", "\u0001"
+NULL_SOURCE = "~"
 
 
 def word_count(text) -> F.Column:
@@ -173,7 +174,8 @@ def mix(
     max_patterns: int = 2000,
 ) -> DataFrame:
     """``df`` plus ``copies``: one struct (copy, source) per time that a document
-    is taken, an empty array where it is not.
+    is taken, an empty array where it is not. Underscores are put before the name
+    if the table has a column of it.
 
     ``members`` is an array of source names; nulls in it are a source of their own
     that sorts last, a null or empty array belongs to none and is never taken.
@@ -184,16 +186,15 @@ def mix(
     as the network is solved on the driver. Empty tables give no rows.
     """
     named = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit(NULL_SOURCE)))))
+    added, mark, hashed, spans = hide_columns(df, "copies", "pattern", "h", "ranges")
     tagged = df.withColumns(
-        {
-            "__pattern": F.coalesce(F.array_join(named, SEP), F.lit("")),
-            "__h": F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)),
-        }
+        {mark: F.coalesce(F.to_json(named), F.lit("[]")), hashed: F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))}
     )
-    drawn = stage(tagged.select(F.col("__pattern").alias("pattern"), F.col(size).cast("long").alias("size"), F.col("__h").alias("h")), "mix")
+    drawn = stage(tagged.select(F.col(mark).alias("pattern"), F.col(size).cast("long").alias("size"), F.col(hashed).alias("h")), "mix")
     rows = drawn.groupBy("pattern").agg(F.sum("size").alias("s")).collect()  # one row per pattern
-    supply = {tuple(r.pattern.split(SEP)): r.s or 0 for r in rows if r.pattern}
-    label = SEP.join
+    labels = {tuple(json.loads(r.pattern)): r.pattern for r in rows}
+    label = labels.__getitem__
+    supply = {tuple(json.loads(r.pattern)): r.s or 0 for r in rows if r.pattern != "[]"}
     source_sizes: dict[str, int] = {}
     for pattern, s in supply.items():
         for source in pattern:
@@ -218,13 +219,13 @@ def mix(
         (p, [(copy, cut[p, lo], cut[p, hi], plain(source)) for copy, lo, hi, source in ranges.get(p, [])])
         for p in (label(t) for t in supply)
     ]
-    shape = "__pattern string, __ranges array<struct<copy:int,lo:long,hi:long,source:string>>"
+    shape = f"{mark} string, {spans} array<struct<copy:int,lo:long,hi:long,source:string>>"
     # one row per pattern
     table = F.broadcast(df.sparkSession.createDataFrame(plan, shape))
-    hit = F.filter("__ranges", lambda r: (r.lo <= F.col("__h")) & (F.col("__h") < r.hi))
+    hit = F.filter(spans, lambda r: (r.lo <= F.col(hashed)) & (F.col(hashed) < r.hi))
     copies = F.transform(hit, lambda r: F.struct(r.copy.alias("copy"), r.source.alias("source")))
     none = F.array().cast("array<struct<copy:int,source:string>>")
-    return tagged.join(table, "__pattern", "left").withColumn("copies", F.coalesce(copies, none)).drop("__pattern", "__h", "__ranges")
+    return tagged.join(table, mark, "left").withColumn(added, F.coalesce(copies, none)).drop(mark, hashed, spans)
 
 
 def cyclic_quotas(cycle=(3, 1, 2), share: float = 1.5, cap: float = 2.0):
@@ -239,12 +240,17 @@ def cyclic_quotas(cycle=(3, 1, 2), share: float = 1.5, cap: float = 2.0):
 
 
 def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` plus ``mix_size`` and ``copies``, mixed by its ``source`` column."""
-    sized = docs.withColumns({"mix_size": word_count("text"), "__members": F.array("source")})
-    return mix(sized, members="__members", size="mix_size", quotas=cyclic_quotas(), seed=seed).drop("__members")
+    """``docs`` plus ``mix_size`` and ``copies`` (named by ``hide_columns``), mixed by
+    its ``source`` column. Edge cases as in :func:`mix`; null texts have size 0."""
+    size, members = hide_columns(docs, "mix_size", "members")
+    sized = docs.withColumns({size: word_count("text"), members: F.array("source")})
+    return mix(sized, members=members, size=size, quotas=cyclic_quotas(), seed=seed).drop(members)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes of all documents. Null sources are a source of their own, null texts have
+    size 0, rows without an id share one fate, an empty table gives no rows. The
+    driver holds one number per source."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), F.array("source").alias("members")), "sizes")
     quotas = cyclic_quotas()
