@@ -53,14 +53,15 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long)."""
+    """``doc_id, text_hash, fp`` (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t.as_py()) for t in batch.column(1)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")), run, "doc_id long, fp long")
+    whole = F.col(text).cast("string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), whole, F.xxhash64(whole)), run, "doc_id long, text_hash long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -231,7 +232,8 @@ def links(fps: DataFrame, most_homes: int = MOST_HOMES) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id``: one row per row of ``docs``.
+    """``doc_id, text_hash, fp, component_id, root``: one row per row of ``docs``;
+    text_hash tells rows of one id apart, root is the least fingerprint of the class.
 
     Equal fingerprints are one class, so copies never meet each other. Texts that
     are null or hold no word have fingerprint zero and are linked like any other.
@@ -245,8 +247,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     linked = classes.join(tree, classes.fp == tree.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     linked = stage(linked, "simhash-classes")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "component_id", "root")
+    return own.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

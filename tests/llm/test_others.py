@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from corpus import corpus, frame, saved
 from pixelarium.llm import fingerprints, media, mixing, packing, secrets, sharding, toxicity
@@ -60,11 +61,34 @@ def test_toxicity_keeps_columns(spark):
     assert lexicon.features(" embad", machine)[0] == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores recomputed by finding each entry on its own, without an automaton."""
+    lexicon = toxicity.Lexicon({"idi": 1.5, "idiot": 2.0, "bad": 0.7}, {"bad luck", "not bad"}, -3.0, 1.1, 0.6)
+    texts = ["an 1d10t is an idiot", "bad luck, bad day, BADLY", "not bad", "nothing here " * 30, "", None, "\u0456d\u0456ot" * 3, "embad idi"]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()}
+    for i, text in enumerate(texts):
+        words, total = toxicity.fold(text).split(), 0.0
+        for k, word in enumerate(words):
+            before, after = words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""
+            if f"{before} {word}" not in lexicon.exceptions and f"{word} {after}" not in lexicon.exceptions:
+                total += sum(w for entry, w in lexicon.weights.items() if word.startswith(entry))
+        z = -3.0 + 1.1 * np.log1p(total) + 0.6 * np.log1p(1000 * total / max(len(words), 20))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_of_rows_without_ids_and_tables(spark, tmp_path):
+    got = toxicity.op2_toxicity(spark, saved(spark, tmp_path / "a", [(None, "word", "", "", 0)])).collect()
+    assert [r.held_out for r in got] == [False]
+    assert toxicity.op2_toxicity(spark, saved(spark, tmp_path / "b", [])).count() == 0
+    assert secrets.op6_secrets(spark, saved(spark, tmp_path / "c", [])).count() == 0
+    assert packing.op8_packing(spark, saved(spark, tmp_path / "d", [(None, None, "", "", 0), (None, "a b", "", "", 0)])).count() == 2
+
+
 # -- sharding -------------------------------------------------------------
-def check_shards(rows, n):
+def check_shards(rows, n, name="shard"):
     shards = {}
     for r in rows:
-        shards.setdefault(r.shard, []).append(r.slot)
+        shards.setdefault(r[name], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
     sizes = [len(shards.get(k, [])) for k in range(n)]
     assert max(sizes) - min(sizes) <= 1 and set(shards) <= set(range(n))
@@ -82,14 +106,38 @@ def test_shards(spark, tmp_path):
 
 
 def test_shards_of_repeated_rows_and_clashing_columns(spark, tmp_path):
-    df = spark.createDataFrame([(7, "same", 1, 2, 3)] * 500 + [(None, None, 1, 2, 3)] * 3, "doc_id long, text string, bucket int, pos int, shard int")
+    df = spark.createDataFrame([(7, "same", 1, 2, 3)] * 500 + [(None, None, 1, 2, 3)] * 3, "doc_id long, text string, bucket int, pos int, SHARD int")
     placed = sharding.shuffle_to_shards(df, shards=4, bucket_bytes=200)
+    assert placed.columns == ["doc_id", "text", "bucket", "pos", "SHARD", "_shard", "slot"]
     got = placed.collect()
-    check_shards(got, 4)
-    assert len(got) == 503 and set(placed.columns) == {"doc_id", "text", "bucket", "pos", "shard", "slot"}
+    check_shards([r.asDict() for r in got], 4, "_shard")
+    assert len(got) == 503 and {r.SHARD for r in got} == {3}
     assert sharding.shuffle_to_shards(df.limit(0)).count() == 0
-    sharding.write_shards(placed, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 503
+    back = sharding.write_shards(placed, f"{tmp_path}/out", shard="_shard").collect()
+    check_shards([r.asDict() for r in back], 4, "_shard")
+    assert len(back) == 503
+
+
+def test_shards_do_not_follow_partitions(spark):
+    """The order is that of any cluster, and each bucket is one partition."""
+    rows = corpus(300)
+    cut = [sharding.shuffle_to_shards(frame(spark, rows).repartition(n), shards=7, bucket_bytes=2000) for n in (1, 5)]
+    a, b = ({(r.doc_id, r.shard, r.slot) for r in x.collect()} for x in cut)
+    assert a == b and len(a) == 300
+    shards = [r.shard for r in sorted(cut[0].collect(), key=lambda r: r.doc_id)]
+    assert len({tuple(shards[i : i + 3]) for i in range(297)}) > 150
+
+
+def test_shards_are_brute_force_permutation(spark):
+    """Shards of the global order are cut at equal counts; the order mixes all rows."""
+    rows = corpus(200)
+    got = sharding.shuffle_to_shards(frame(spark, rows), shards=6).collect()
+    check_shards(got, 6)
+    order = sorted((r.shard, r.slot, r.doc_id) for r in got)
+    ranks = [sum(1 for x in order if x < o) for o in order]
+    assert [o[0] for o in order] == [r * 6 // 200 for r in ranks]
+    ids = [o[2] for o in order]
+    assert abs(np.corrcoef(ids, range(200))[0, 1]) < 0.25
 
 
 # -- fingerprints ---------------------------------------------------------
@@ -121,7 +169,47 @@ def test_fingerprints_match_brute_force(spark, tmp_path, monkeypatch):
         if len(a) > 100:
             errors.append(abs(len(a & b) / len(a | b) - r.near_edited))
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert np.mean(errors) < 0.08
+        own, after_edit, following = (brute_sketch(t) for t in (text, edited, after))
+        assert [r.fingerprint, r.edited_fingerprint] == [",".join(f"{h:X}".lower() if h >= 0 else f"{h + (1 << 64):x}" for h in x) for x in (own, after_edit)]
+        assert r.near_edited == pytest.approx(brute_likeness(own, after_edit)) and r.near_next == pytest.approx(brute_likeness(own, following))
+    assert np.mean(errors) < 0.1
+
+
+def brute_sketch(text):
+    words, found = text.encode().split(), set()
+    for i in range(max(1, len(words) - 2) if words else 0):
+        h = 42
+        for w in words[i : i + 3]:
+            h = xxhash.xxh64_intdigest(w, h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    below = sorted(h for h in found if 0 <= h < (1 << 64) // fingerprints.SCALE)
+    return below or sorted(found)[:1]
+
+
+def brute_likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
+def test_fingerprints_of_short_and_hot_rows(spark, tmp_path):
+    """Unlike short texts are unlike; rows that share an id are spread over ranges."""
+    texts = ["xi omicron pi rho sigma", "nu", "one two", "three four five six", "seven", ""]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.near_next for r in fingerprints.op5_fingerprints(spark, saved(spark, tmp_path / "short", rows)).collect()}
+    assert got == {i: 0.0 for i in range(6)}
+    many = spark.createDataFrame([(7 if i % 2 else None if i % 3 else i, f"text {i} of many", i) for i in range(600)], "doc_id long, text string, bucket int").repartition(5)
+    seen, after = fingerprints.with_next(many, key="doc_id", text="text", bucket_bytes=400)
+    assert seen.columns == ["doc_id", "text", "bucket", after]
+    found = seen.collect()
+    follows = {r.text: r[after] for r in found}
+    at, ring = "text 0 of many", []
+    for _ in range(600):
+        ring.append(at)
+        at = follows[at]
+    assert at == "text 0 of many" and len(set(ring)) == 600
+    ids = {r.text: r.doc_id for r in found}
+    start = ring.index("text 594 of many")
+    order = [-1 if ids[t] is None else ids[t] for t in ring[start:] + ring[:start]]
+    assert order == sorted(order, reverse=True)
 
 
 def test_sketch_is_mergeable_and_estimates_containment(spark):
@@ -132,7 +220,7 @@ def test_sketch_is_mergeable_and_estimates_containment(spark):
     from pyspark.sql import functions as F
 
     r = s.select(fingerprints.containment(s.a, s.b).alias("inside"), fingerprints.jaccard(s.a, s.b).alias("j"), (fingerprints.merged(F.array("a", "b")) == s.b).alias("same"), F.size("b").alias("n")).first()
-    assert r.inside == 1 and r.same and abs(r.j - 0.1) < 0.05 and abs(r.n - 750) < 120
+    assert r.inside == 1 and r.same and abs(r.j - 0.1) < 0.06 and abs(r.n - 375) < 90
 
 
 def test_fingerprints_of_edge_tables(spark, tmp_path):
@@ -199,8 +287,7 @@ def test_ids_are_the_tokenizers(tmp_path):
 
     path = packing.default_tokenizer()
     ids, real = packing.load_tokenizer(path), Tokenizer.from_file(path)
-    real.encode_special_tokens = True
-    odd = ["a  b", "a\n  b", " x", "don't  's", "<|endoftext|> a", "日本 語", "  x", "a\u0085b"]
+    odd = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> <|endoftext", "a  b", "a\n  b", " x", "don't  's", "<|endoftext|> a", "日本 語", "  x", "a\u0085b"]
     for text in [t or "" for _, t, *_ in corpus()] + odd:
         assert np.frombuffer(ids(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
 
@@ -312,6 +399,38 @@ def test_mix_query(spark, tmp_path):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in mixing.op10_mixing(spark, folder).collect()}
 
 
+def level_fill(sizes, weights, total):
+    """Targets by another way: the level at which weights fill up to twice the sizes."""
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * sizes[s], mid * weights[s]) for s in sizes) < total else (low, mid)
+    return {s: min(2 * sizes[s], low * weights[s]) for s in sizes}
+
+
+def test_mix_targets_by_brute_force(spark, tmp_path):
+    rows = [(i, "w " * n, "", s, 0) for i, (n, s) in enumerate([(5, "a"), (400, "b"), (7, "a"), (90, None), (300, "b\u0001c"), (2, 'q"]'), (60, "d"), (0, "e")] * 5)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(900, None, "", "a", 0), (None, "w w w", "", "d", 0)]
+    got = mixing.op10_mixing(spark, saved(spark, tmp_path, rows)).collect()
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    order = sorted(s for s in sizes if s is not None) + [None]
+    want = level_fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    assert {(r.source_size, round(r.target, 3)) for r in got} == {(sizes[s], round(want[s], 3)) for s in order}
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    empty = mixing.op10_mixing(spark, saved(spark, tmp_path / "none", []))
+    assert empty.count() == 0
+
+
+def test_mix_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 7, 8, 9) for i in range(20)], "doc_id long, text string, source string, copies int, mix_size int, H int")
+    got = mixing.mix_documents(df)
+    assert got.columns == [*df.columns, "_mix_size", "_copies"]
+    assert {(r.copies, r.mix_size, r.H, r._mix_size) for r in got.collect()} == {(7, 8, 9, 3)}
+    assert sum(len(r._copies) for r in got.collect()) == 30
+
+
 def test_flow_prefers_fresh_words():
     flow = mixing.min_cost_flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 150, "b": 60}, 2)
     sent = {s: sum(f.get(s, 0) for f in flow.values()) for s in "ab"}
