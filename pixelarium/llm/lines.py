@@ -95,8 +95,9 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     needs = wanted.groupBy(F.shiftrightunsigned("loc", PLACE).alias("k")).agg(
         F.collect_list(F.struct("id", "a", "b", F.expr(f"CAST(loc & {(1 << PLACE) - 1} AS INT)").alias("r"))).alias("needs")
     )
-    opened = docs.select(F.shiftrightunsigned(document_key(), PLACE + 1).alias("k"), F.split("text", "\n").alias("parts"))
-    opened = opened.join(needs.hint("shuffle_hash"), "k").where(F.size("parts") > 0)
+    opened = docs.select(F.shiftrightunsigned(document_key(), PLACE + 1).alias("k"), "text").join(needs.hint("shuffle_hash"), "k")
+    # read twice below, so that a text is split on its own, before its lines are picked
+    opened = opened.select("needs", F.split("text", "\n").alias("parts"))
 
     def read(need: Column) -> Column:
         # the locator holds the lower bits of a place, so later ones may be meant
@@ -123,7 +124,7 @@ class ShingleSets:
         self.spark = docs.sparkSession
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sets = shingle_sets(line_texts(docs, wanted).repartition(parts, "id"))
-        self.table, self.path = write_bucketed(sets, ["id"], "sets")
+        self.table, self.path = write_bucketed(sets, ["id"], "sets", compression="snappy")
         release(self.spark)
 
     def read(self) -> DataFrame:
@@ -147,7 +148,7 @@ def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
 def candidates(shared: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct pairs (id, p) of lines that share a band and agree enough, staged;
     ``star`` marks those with the least line of a band."""
-    signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed")
+    signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed", compression="snappy")
     agree = reduce(add, [(F.col("sig")[i] == F.col("other")[i]).cast("int") for i in range(len(MASKS))]) >= AGREE
     x, y = signed.alias("x"), signed.select("band", F.col("id").alias("p"), F.col("sig").alias("other"))
     few = x.where(F.col("n") <= SMALL).join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") < F.col("p")) & agree)
@@ -268,7 +269,7 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
 def line_classes(docs: DataFrame) -> DataFrame:
     """``a, b, root``, staged: the class of each distinct line that has more than one
     place or a similar line; no other line can repeat one."""
-    distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines")
+    distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines", compression="snappy")
     release(docs.sparkSession)
     tree = similar_lines(distinct, docs)
     roots = tree.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct()
@@ -301,12 +302,15 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     firsts = stage(places.groupBy("root").agg(F.min("at").alias("first")), "line-first")
     later = places.join(firsts, "root").where("at != first").select("at.*")
     lists = later.groupBy(F.col("d").alias(d), F.col("t").alias(t)).agg(F.collect_set("line_no").alias(gone))
-    # texts travel as their lines, so that these are split once and read by place
-    keys = {d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t: document_key(), parts: F.split(F.col("text").cast("string"), "\n")}
-    rest = docs.withColumns(keys).drop("text").join(lists.hint("shuffle_hash"), [d, t], "left")
+    whole = F.col("text").cast("string")
+    keys = {d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t: document_key(), "text": whole}
+    rest = docs.withColumns(keys).join(lists.hint("shuffle_hash"), [d, t], "left")
+    # only texts that lose lines are split; read twice below, so on its own
+    rest = rest.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
-    text = F.array_join(F.when(F.col(gone).isNull(), F.col(parts)).otherwise(kept), "\n")
-    counts = {number: F.coalesce(F.size(parts), F.lit(0)).cast("long"), removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lines = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    counts = {number: F.coalesce(lines, F.lit(0)).cast("long"), removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     return rest.withColumns(counts | {"text": text}).select(*[f"`{c}`" for c in docs.columns], number, removed)
 
 
