@@ -1,7 +1,9 @@
 """Raster tables: tile headers, pixel blocks, basemap listings.
 
-Files are read by Spark's binaryFile source, so any store that Spark reads will do;
-headers are parsed on the executors, and pixels are produced block by block.
+Headers are parsed and pixels are read on the executors, block by block. Files whose
+store Arrow reaches are opened there, and only the header and the blocks asked for are
+read, whatever the file's size. In a store that only Spark reads, files come whole from
+the binaryFile source, which takes up to 2 GiB.
 """
 
 from __future__ import annotations
@@ -46,6 +48,32 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
+def opened(path: str) -> tiff.Ranges:
+    """A file opened through Arrow."""
+    from pyarrow import fs
+
+    local = path.startswith(("file:", "/"))
+    store, name = (fs.LocalFileSystem(), _local(path)) if local else fs.FileSystem.from_uri(path)
+    return tiff.Ranges(store.open_input_file(name))
+
+
+def located(spark: SparkSession, folder: str, pattern: str = "*.tif*", recursive: bool = False) -> DataFrame:
+    """(path, content) of a folder's rasters; content is null where Arrow can open
+    the files, so that it isn't read."""
+    found = files(spark, folder, pattern, recursive).select("path", "content")
+    first = found.select("path").first()
+    try:
+        if first is not None:
+            opened(first["path"])
+    except Exception:  # a store that Arrow doesn't know or reach
+        return found
+    return found.select("path", F.lit(None).cast("binary").alias("content"))
+
+
+def _header(path: str, content: bytes | None) -> tiff.Tiff:
+    return tiff.read_header(opened(path) if content is None else content)
+
+
 def scan_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """The tile catalogue: one header row per file of the folder itself, by path."""
 
@@ -53,27 +81,38 @@ def scan_tiles(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = tiff.read_header(content.as_py())
+                t = _header(path, content.as_py())
                 rows.append((_local(path), str(t.crs), t.width, t.height, t.count, t.nodata, *t.bounds_wgs84, *t.affine))
             yield _rows(TILES, rows)
 
-    return map_arrow(files(spark, folder).select("path", "content"), run, TILES).orderBy("path")
+    return map_arrow(located(spark, folder), run, TILES).orderBy("path")
 
 
 def scan_pixels(spark: SparkSession, folder: str, block: int = 512, every_band: bool = True) -> DataFrame:
     """One row per pixel, block by block: place, position in degrees, whether it is
     valid (no band at the nodata value, NaN included) and its bands."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strips(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = tiff.read_header(content.as_py())
-                for r in range(0, t.height, block):
+                n = -(-_header(path, content.as_py()).height // block)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32())], ["path", "strip"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, strip, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                t = _header(path, content.as_py())
+                for r in range(0, t.height, block) if strip < 0 else (strip * block,):
                     for c in range(0, t.width, block):
-                        rows, cols = min(block, t.height - r), min(block, t.width - c)
-                        yield _pixel_batch(_local(path), t, r, c, rows, cols, block)
+                        yield _pixel_batch(_local(path), t, r, c, min(block, t.height - r), min(block, t.width - c), block)
 
-    return map_arrow(files(spark, folder).select("path", "content").repartition(F.col("path")), run, PIXELS)
+    found = located(spark, folder)
+    if found.where("content IS NOT NULL").select("path").limit(1).count():
+        # whole files, one task each
+        return map_arrow(found.select("path", F.lit(-1).alias("strip"), "content").repartition("path"), run, PIXELS)
+    # one row for each row of blocks, so that a large file is read by many tasks
+    parts = map_arrow(found, strips, "path string, strip int")
+    return map_arrow(parts.repartition("path", "strip").select("path", "strip", F.lit(None).cast("binary").alias("content")), run, PIXELS)
 
 
 def _pixel_batch(path: str, t: tiff.Tiff, r: int, c: int, rows: int, cols: int, block: int) -> pa.RecordBatch:
@@ -120,13 +159,13 @@ def list_basemaps(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 path = _local(path)
                 try:
-                    t = tiff.read_header(content.as_py())
+                    t = _header(path, content.as_py())
                     rows.append((path, path.rsplit("/", 1)[-1], t.width, t.height, t.count, *t.bounds, None))
                 except Exception as problem:
                     rows.append((path, path.rsplit("/", 1)[-1], None, None, None, None, None, None, None, str(problem)))
             yield _rows(LISTING, rows)
 
-    listed = map_arrow(files(spark, folder, "*.{tif,tiff}", True).select("path", "content"), run, LISTING)
+    listed = map_arrow(located(spark, folder, "*.{tif,tiff}", True), run, LISTING)
     return listed.withColumn("id", basemap_id(F.col("path"))).withColumn("tile_url_template", F.concat(F.lit("/offline/basemaps/"), "id", F.lit("/tiles/{z}/{x}/{y}.png"))).orderBy("path")
 
 
@@ -135,10 +174,10 @@ def pixel_at(spark: SparkSession, folder: str, path: str, lon: float, lat: float
     nodata is an error."""
     from pixelarium.functions.geo import from_lonlat
 
-    content = files(spark, folder).where(F.col("path").endswith(path)).select("content").first()
-    if content is None:
+    found = located(spark, folder).where(F.col("path").endswith(path)).first()
+    if found is None:
         raise ValueError(f"no such tile: {path}")
-    t = tiff.read_header(bytes(content["content"]))
+    t = _header(found["path"], found["content"])
     x, y = from_lonlat(t.crs, lon, lat)
     a, b, c, d, e, f = t.affine
     det = a * e - b * d

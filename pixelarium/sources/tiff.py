@@ -27,7 +27,7 @@ GEOGRAPHIC_KEY, PROJECTED_KEY, RASTER_TYPE_KEY, PIXEL_IS_POINT = 2048, 3072, 102
 class Tiff:
     """A raster's header; ``window`` reads samples."""
 
-    data: bytes = field(repr=False)
+    data: bytes | Ranges = field(repr=False)
     width: int
     height: int
     count: int
@@ -140,25 +140,41 @@ def _lzw(raw: bytes, need: int) -> bytes:
     return bytes(out)
 
 
-def read_header(data: bytes) -> Tiff:
+class Ranges:
+    """A file's bytes, read from its store where they are sliced."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def __getitem__(self, part: slice) -> bytes:
+        start = part.start or 0
+        return self.file.read_at(part.stop - start, start)
+
+
+def read_header(data: bytes | Ranges) -> Tiff:
+    """The header alone is read; ``data`` stays with the raster for its windows."""
+
+    def unpack(form: str, at: int) -> tuple:
+        return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
     if data[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF file")
     end = "<" if data[:2] == b"II" else ">"
-    big = struct.unpack_from(end + "H", data, 2)[0] == 43
-    at = struct.unpack_from(end + ("Q" if big else "I"), data, 8 if big else 4)[0]
-    number = struct.unpack_from(end + ("Q" if big else "H"), data, at)[0]
+    big = unpack(end + "H", 2)[0] == 43
+    at = unpack(end + ("Q" if big else "I"), 8 if big else 4)[0]
+    number = unpack(end + ("Q" if big else "H"), at)[0]
     at += 8 if big else 2
     word, step = ("Q", 20) if big else ("I", 12)
     tags: dict[int, tuple] = {}
     for k in range(number):
-        tag, kind, n = struct.unpack_from(end + "HH" + word, data, at + k * step)
+        tag, kind, n = unpack(end + "HH" + word, at + k * step)
         spec = TYPES.get(kind)
         if spec is None:
             continue
         form = f"{end}{n}s" if spec == "s" else end + spec * n
         inline = at + k * step + (12 if big else 8)
-        place = inline if struct.calcsize(form) <= struct.calcsize(word) else struct.unpack_from(end + word, data, inline)[0]
-        tags[tag] = struct.unpack_from(form, data, place)
+        place = inline if struct.calcsize(form) <= struct.calcsize(word) else unpack(end + word, inline)[0]
+        tags[tag] = unpack(form, place)
     bits, kind = tags.get(BITS, (1,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
     if bits % 8 or kind not in KINDS:
         raise ValueError(f"unsupported TIFF samples of {bits} bits")

@@ -8,6 +8,7 @@ import pytest
 from conftest import RING, constant_bands, write_kml, write_tile
 from pixelarium.operators import build, coarse
 from pixelarium.plans.engine import Engine, Settings
+from pixelarium.sources import rasters
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +189,25 @@ def test_basemap_tiles(spark, built, tmp_path):
     assert engine.basemap_tile(listed["m.tif"]["id"], 1, 2, 0) is None
     assert engine.basemap_tile(listed["m.tif"]["id"], 11, 0, 0) is None
     assert engine.basemap_tile("0" * 16, 0, 0, 0) is None
+
+
+def test_pixels_by_ranges_equal_whole_files(spark, tmp_path, monkeypatch):
+    """Strips of blocks are read apart; a store that Arrow doesn't reach is read whole."""
+    bands = np.random.default_rng(1).integers(0, 90, (3, 23, 17)).astype(np.int16)
+    (tmp_path / "tiles").mkdir()
+    write_tile(tmp_path / "tiles" / "a.tif", bands, 7, compress=True)
+    write_tile(tmp_path / "tiles" / "b.tif", bands[:, :9, :5], None)
+    names = ["tile_path", "row", "col"]
+    ranged = rasters.scan_pixels(spark, str(tmp_path / "tiles"), block=4)
+    found = {tuple(r[n] for n in names): (r.valid, list(r.bands), r.block_row, r.block_col) for r in ranged.collect()}
+    assert len(found) == 23 * 17 + 9 * 5
+    for (path, row, col), (valid, values, i, j) in found.items():
+        want = bands[:, row, col]
+        assert values == want.tolist() and (i, j) == (row // 4, col // 4) and valid == (path.endswith("b.tif") or not (want == 7).any())
+
+    def refuse(path):
+        raise OSError(path)
+
+    monkeypatch.setattr(rasters, "opened", refuse)
+    whole = rasters.scan_pixels(spark, str(tmp_path / "tiles"), block=4).collect()
+    assert {tuple(r[n] for n in names): (r.valid, list(r.bands), r.block_row, r.block_col) for r in whole} == found
