@@ -69,7 +69,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
     """``d, t, line_no, line, a, b``: the lines that are not blank, with two hashes
     that together name the text; d is the doc_id, null ids last, t the row's key."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
-    lines = docs.select(own, document_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    lines = docs.select(own, document_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.ltrim("line", F.lit(BLANKS)) != "")
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), "line")})
 
 
