@@ -32,6 +32,8 @@ BLOCK = 32
 AGREE = 10
 #: Lines of a band up to which all its pairs are compared, and pivots of larger ones.
 SMALL, PIVOTS = 32, 8
+#: Groups of shingles whose numbers order those of lines of crowded bands.
+GROUPS = 1 << 14
 #: Words of 64 parity bits by which lines of crowded bands are told apart.
 PARITIES = 16
 NULL_ID = (1 << 63) - 1
@@ -225,7 +227,9 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
 
     Bands whose lines are all of one component have nothing left. A line of n shingles
     shares 0.8 n of them at least with any similar line, so if both order their shingles
-    alike (rarest first), they share one of the first n - 0.8 n + 1. Lines that share
+    alike (those of rare groups first), they share one of the first n - 0.8 n + 1. A group
+    is a ``GROUPS``-th of all hashes, so the driver holds that many counts and the order
+    needs no join; frequent shingles make theirs frequent. Lines that share
     such a shingle are paired if they are of two components and nothing rules it out:
     their sizes, the places of the shingle, after which too few may be left, or the bits
     in which their parities differ, which are never more than the shingles that only one
@@ -236,18 +240,18 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     named = large.join(tree, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     open_bands = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
     known = stage(named.join(open_bands, "band", "left_semi").select("id", "c").distinct(), "crowd")
-    every = stage(known.join(sets.read(), "id").select("id", "c", F.size("set").alias("n"), F.explode("set").alias("h")), "shingles")
-    often = every.groupBy("h").agg(F.count("*").alias("often"))
+    every = stage(known.join(sets.read(), "id").select("id", "c", "set"), "crowd-sets")
+    shingles = every.select("id", F.explode("set").alias("h"))
+    # at most GROUPS numbers
+    often = {r.g: r.n for r in shingles.groupBy(F.pmod("h", F.lit(GROUPS)).alias("g")).agg(F.count("*").alias("n")).collect()}
+    weights = F.split(F.lit(",".join(str(often.get(g, 0)) for g in range(GROUPS))), ",").cast("array<bigint>")
     bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 8) & 63)")
     words = [f"b{i}" for i in range(PARITIES)]
-    parity = every.groupBy("id").agg(*[F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
-    shared = F.when(F.col("often") > 1, F.struct("often", "h"))
-    ordered = every.join(often.hint("shuffle_hash"), "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(shared)).alias("hs"))
-    # shingles of one line alone are the rarest, and come before those of the list
-    alone = F.col("n") - F.size("hs")
-    length = F.greatest(F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1 - alone, F.lit(0))
-    prefix = ordered.select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("hs", 1, length)).alias("i", "e"))
-    heads = stage(prefix.select("id", "c", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("e.h").alias("h")), "heads")
+    parity = shingles.groupBy("id").agg(*[F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
+    ordered = F.sort_array(F.transform("set", lambda h: F.struct(F.get(weights, F.pmod(h, F.lit(GROUPS))).alias("often"), h.alias("h"))))
+    sized = every.select("id", "c", F.size("set").alias("n"), ordered.alias("hs"))
+    length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1
+    heads = stage(sized.select("id", "c", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "e")).select("id", "c", "n", "at", F.col("e.h").alias("h")), "heads")
     held = heads.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
     split = stage(heads.join(held.where("kinds > 1").select("h", "main"), "h").join(parity, "id"), "split-heads")
     x = split.where("c != main")
