@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, documents, drop_table, hide_columns, release, stage, unstage, write_bucketed
@@ -37,6 +37,8 @@ GROUPS = 1 << 14
 #: Words of 64 parity bits by which lines of crowded bands are told apart.
 PARITIES = 16
 NULL_ID = (1 << 63) - 1
+#: Of tables of hashes, whose values hardly repeat.
+HASHES = {"compression": "snappy", "parquet.enable.dictionary": "false"}
 #: Bits of a line's place that its locator holds; the others name the document.
 PLACE = 20
 #: 32-bit masks: the golden ratio's multiples, spread over the hash's range.
@@ -54,15 +56,26 @@ def _encoded(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _blocks(chars: DataFrame) -> DataFrame:
-    """Rows with a line's encoded ``chars`` become one row for each ``BLOCK`` shingles,
+def in_units(lines: DataFrame) -> DataFrame:
+    """``line`` becomes ``chars``, two bytes for each character: half of what a shingle's
+    hash reads. Of a character beyond 16 bits these are the lower ones, so two shingles
+    that differ have one hash only if their characters differ by 65,536 and multiples;
+    signatures, which are compared by chance anyway, use that, sets do not."""
+    wide = lines.withColumn("wide", F.encode("line", "UTF-16BE"))
+    lower = F.unhex(F.regexp_replace(F.hex(_encoded(F.col("line"))), ".{4}(.{4})", "$1"))
+    chars = F.when(F.octet_length("wide") == 2 * F.char_length("line"), F.col("wide")).otherwise(lower)
+    return wide.select(*[c for c in lines.columns if c != "line"], chars.alias("chars"))
+
+
+def _blocks(chars: DataFrame, width: int) -> DataFrame:
+    """Rows with a line's ``chars`` of ``width`` bytes become one row for each ``BLOCK`` shingles,
     with their 32-bit hashes ``h0`` and up; ``begins`` is 1 in a line's first row. A line
     shorter than a shingle is one shingle. The last block repeats the last shingle, which
     neither minima nor sets notice. Written out like this, no shingle is a row."""
-    size = 4 * SHINGLE
+    size = width * SHINGLE
     last = (F.greatest(F.octet_length("chars"), F.lit(size)) - (size - 1)).alias("last")
-    at = chars.select("*", last).select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * BLOCK))).alias("i"))
-    hashes = [F.hash(F.substring("chars", F.least(F.col("i") + 4 * j, F.col("last")), F.lit(size))).alias(f"h{j}") for j in range(BLOCK)]
+    at = chars.select("*", last).select("*", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(width * BLOCK))).alias("i"))
+    hashes = [F.hash(F.substring("chars", F.least(F.col("i") + width * j, F.col("last")), F.lit(size))).alias(f"h{j}") for j in range(BLOCK)]
     others = [c for c in chars.columns if c != "chars"]
     return at.select(*others, F.when(F.col("i") == 1, 1).otherwise(0).alias("begins"), *hashes)
 
@@ -80,7 +93,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     place that has it, the number of its places and its signature. Every aggregate is
     a minimum or a sum of numbers and is combined in the task that reads the text."""
     locator = F.expr(f"shiftleft(shiftrightunsigned(t, {PLACE + 1}), {PLACE}) | (line_no & {(1 << PLACE) - 1})")
-    hashed = _blocks(lines.select("a", "b", locator.alias("loc"), _encoded(F.col("line")).alias("chars")))
+    hashed = _blocks(in_units(lines.select("a", "b", locator.alias("loc"), "line")), 2)
     mins = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(BLOCK)])).alias(f"m{i}") for i, m in enumerate(MASKS)]
     each = hashed.groupBy("a", "b").agg(F.min("loc").alias("loc"), F.sum("begins").alias("times"), *mins)
     return each.select("a", "b", "loc", "times", F.array(*[f"m{i}" for i in range(len(MASKS))]).alias("sig"))
@@ -92,7 +105,7 @@ def bands(sig: Column) -> Column:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, chars`` of wanted lines (id, a, b, loc): documents are opened by their
+    """``id, line`` of wanted lines (id, a, b, loc): documents are opened by their
     key, and only wanted lines leave, each read at its place."""
     needs = wanted.groupBy(F.shiftrightunsigned("loc", PLACE).alias("k")).agg(
         F.collect_list(F.struct("id", "a", "b", F.expr(f"CAST(loc & {(1 << PLACE) - 1} AS INT)").alias("r"))).alias("needs")
@@ -109,12 +122,12 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = opened.select(F.explode(F.transform("needs", read)).alias("x")).select("x.id", "x.a", "x.b", F.explode("x.lines").alias("line"))
     named = found.where((F.col("a") == F.xxhash64("line")) & (F.col("b") == F.xxhash64(F.lit(7), "line")))
     # rows that repeat id and text each hold the line
-    return named.select("id", _encoded(F.col("line")).alias("chars")).dropDuplicates(["id"])
+    return named.select("id", "line").dropDuplicates(["id"])
 
 
 def shingle_sets(lines: DataFrame) -> DataFrame:
     """``id, set``: the distinct 32-bit hashes of the shingles of lines (id, chars)."""
-    blocks = _blocks(lines).select("id", F.array(*[f"h{j}" for j in range(BLOCK)]).alias("block"))
+    blocks = _blocks(lines, 4).select("id", F.array(*[f"h{j}" for j in range(BLOCK)]).alias("block"))
     return blocks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("set"))
 
 
@@ -125,8 +138,9 @@ class ShingleSets:
     def __init__(self, docs: DataFrame, wanted: DataFrame):
         self.spark = docs.sparkSession
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sets = shingle_sets(line_texts(docs, wanted).repartition(parts, "id"))
-        self.table, self.path = write_bucketed(sets, ["id"], "sets", compression="snappy")
+        texts = line_texts(docs, wanted).repartition(parts, "id")
+        sets = shingle_sets(texts.select("id", _encoded(F.col("line")).alias("chars")))
+        self.table, self.path = write_bucketed(sets, ["id"], "sets", **HASHES)
         release(self.spark)
 
     def read(self) -> DataFrame:
@@ -139,18 +153,19 @@ class ShingleSets:
 def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
     """Of distinct pairs (id, p) those whose lines are similar by the exact Jaccard
     similarity of their shingle sets, staged. In whole numbers: of n shingles in both
-    sets together, 4 n / 9 at least are shared."""
+    sets together, 4 n / 9 at least are shared: those of one that it doesn't have alone."""
     y = sets.read().select(F.col("id").alias("p"), F.col("set").alias("y"))
     read = pairs.select("id", "p").join(sets.read().select("id", F.col("set").alias("x")), "id").join(y, "p")
     least = 4 * (F.size("x") + F.size("y"))
-    similar = (9 * F.least(F.size("x"), F.size("y")) >= least) & (9 * F.size(F.array_intersect("x", "y")) >= least)
+    shared = F.size("x") - F.size(F.array_except("x", "y"))
+    similar = (9 * F.least(F.size("x"), F.size("y")) >= least) & (9 * shared >= least)
     return stage(read.where(similar).select("id", "p"), "links")
 
 
 def candidates(shared: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct pairs (id, p) of lines that share a band and agree enough, staged;
     ``star`` marks those with the least line of a band."""
-    signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed", compression="snappy")
+    signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed", **HASHES)
     agree = reduce(add, [(F.col("sig")[i] == F.col("other")[i]).cast("int") for i in range(len(MASKS))]) >= AGREE
     x, y = signed.alias("x"), signed.select("band", F.col("id").alias("p"), F.col("sig").alias("other"))
     few = x.where(F.col("n") <= SMALL).join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") < F.col("p")) & agree)
@@ -203,11 +218,12 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band"))
     counted = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-    shared = stage(rows.join(counted.hint("shuffle_hash"), "band"), "bands")
+    shared = stage(rows.join(counted.hint("shuffle_hash"), "band"), "bands", **HASHES)
     release(spark)
     pairs = candidates(shared, lines)
     large = stage(shared.where(F.col("n") > SMALL).select("band", "id"), "large")
     unstage(shared)
+    release(spark)
     ends = pairs.select("id").unionAll(pairs.select("p")).unionAll(large.select("id")).distinct()
     sets = ShingleSets(docs, lines.select("id", "a", "b", "loc").join(ends.hint("shuffle_hash"), "id"))
     first = verified(pairs.where("star"), sets)
@@ -240,7 +256,7 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     named = large.join(tree, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     open_bands = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
     known = stage(named.join(open_bands, "band", "left_semi").select("id", "c").distinct(), "crowd")
-    every = stage(known.join(sets.read(), "id").select("id", "c", "set"), "crowd-sets")
+    every = stage(known.join(sets.read(), "id").select("id", "c", "set"), "crowd-sets", **HASHES)
     shingles = every.select("id", F.explode("set").alias("h"))
     # at most GROUPS numbers
     often = {r.g: r.n for r in shingles.groupBy(F.pmod("h", F.lit(GROUPS)).alias("g")).agg(F.count("*").alias("n")).collect()}
@@ -248,12 +264,12 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     bit = F.expr("shiftleft(1L, shiftrightunsigned(h, 8) & 63)")
     words = [f"b{i}" for i in range(PARITIES)]
     parity = shingles.groupBy("id").agg(*[F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
-    ordered = F.sort_array(F.transform("set", lambda h: F.struct(F.get(weights, F.pmod(h, F.lit(GROUPS))).alias("often"), h.alias("h"))))
+    # weight and hash in one number, as numbers are sorted faster than structs
+    ordered = F.sort_array(F.transform("set", lambda h: F.shiftleft(F.get(weights, F.pmod(h, F.lit(GROUPS))), 32).bitwiseOR(h.cast("long") + (1 << 31))))
     sized = every.select("id", "c", F.size("set").alias("n"), ordered.alias("hs"))
     length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1
-    heads = stage(sized.select("id", "c", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "e")).select("id", "c", "n", "at", F.col("e.h").alias("h")), "heads")
-    held = heads.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("kinds"))
-    split = stage(heads.join(held.where("kinds > 1").select("h", "main"), "h").join(parity, "id"), "split-heads")
+    heads = stage(sized.select("id", "c", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "e")).select("id", "c", "n", "at", F.expr("CAST((e & 4294967295) - 2147483648 AS INT)").alias("h")), "heads")
+    split = stage(shared_heads(heads).join(parity, "id"), "split-heads")
     x = split.where("c != main")
     y = split.select("h", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("at").alias("pat"), *[F.col(w).alias(f"p{w}") for w in words])
     differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words])
@@ -270,10 +286,19 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     return pairs
 
 
+def shared_heads(heads: DataFrame) -> DataFrame:
+    """Rows of ``heads`` (h, c and others) whose shingle h has lines of two components
+    at least, with the commonest, ``main``. Numbered where they lie: no row is joined."""
+    each = Window.partitionBy("h")
+    counted = heads.repartition("h").withColumn("m", F.count("*").over(Window.partitionBy("h", "c")))
+    seen = counted.withColumns({"main": F.max(F.struct("m", "c")).over(each)["c"], "low": F.min("c").over(each), "high": F.max("c").over(each)})
+    return seen.where("low != high").drop("m", "low", "high")
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """``a, b, root``, staged: the class of each distinct line that has more than one
     place or a similar line; no other line can repeat one."""
-    distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines", compression="snappy")
+    distinct = stage(signatures(split_lines(docs)).withColumn("id", F.monotonically_increasing_id()), "lines", **HASHES)
     release(docs.sparkSession)
     tree = similar_lines(distinct, docs)
     roots = tree.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct()
@@ -313,7 +338,8 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     rest = rest.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    lines = F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    lines = F.when(F.col(gone).isNull(), breaks + 1).otherwise(F.size(parts))
     counts = {number: F.coalesce(lines, F.lit(0)).cast("long"), removed: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     return rest.withColumns(counts | {"text": text}).select(*[f"`{c}`" for c in docs.columns], number, removed)
 

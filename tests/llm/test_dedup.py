@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -212,6 +213,35 @@ def test_line_shingles_of_long_lines(spark):
         assert own == {r.h for r in want}
 
 
+def test_line_signatures_read_two_bytes_a_character(spark):
+    """Of a character beyond 16 bits the lower ones; similar lines with such are found."""
+    rng = random.Random(3)
+    plain, odd = ("".join(rng.choices(letters, k=300)) for letters in ("abcdé ", "abc 😀😁🎉𐍈é"))
+    df = spark.createDataFrame([(0, plain), (1, odd), (2, "x")], "id long, line string")
+    got = {r.id: bytes(r.chars) for r in lines.in_units(df).collect()}
+    assert got == {i: b"".join((ord(c) & 0xFFFF).to_bytes(2, "big") for c in t) for i, t in enumerate((plain, odd, "x"))}
+    rows = [(i, t, "", "", 0) for i, t in enumerate((odd, odd[:-3] + "zzz", odd[::-1]))]
+    assert [r.n_removed for r in lines.deduplicate_lines(frame(spark, rows)).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_line_heads_shared_by_components_are_not_joined(spark):
+    """A row for each line and shingle is made by no join, whose rows would grow with a family."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 40)) for i in range(150)] + [(200 + i, 9, 50) for i in range(20)]
+    got = lines.shared_heads(spark.createDataFrame(rows, "id long, c long, h int"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    count = Counter((h, c) for _, c, h in rows)
+    want = {(i, c, h, max((n, k) for (g, k), n in count.items() if g == h)[1]) for i, c, h in rows if len({k for g, k in count if g == h}) > 1}
+    assert want and {(r.id, r.c, r.h, r.main) for r in got.collect()} == want
+
+
+def test_lines_are_counted_whether_or_not_they_leave(spark):
+    line = "a line that is long enough to be here twice"
+    rows = [(1, f"{line}\n\n", "", "", 0), (2, f"é\n{line}\n\n{line}\n", "", "", 0), (3, "\n\n", "", "", 0), (4, "", "", "", 0), (5, None, "", "", 0)]
+    got = lines.deduplicate_lines(frame(spark, rows)).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed, r.text) for r in got] == [(3, 0, f"{line}\n\n"), (5, 2, "é\n\n"), (3, 0, "\n\n"), (1, 0, ""), (0, 0, None)]
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     if not words:
