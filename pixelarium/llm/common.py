@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -62,11 +63,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, **options) -> DataFrame:
+@contextlib.contextmanager
+def _arrays(spark: SparkSession, flat: bool):
+    """Where ``flat``, arrays without nulls are written in Parquet's two levels meanwhile,
+    not in three, which costs less for each number; Spark reads both."""
+    key = "spark.sql.parquet.writeLegacyFormat"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true" if flat else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stage(df: DataFrame, name: str, flat: bool = False, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here,
     and what was computed survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    with _arrays(df.sparkSession, flat):
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -76,7 +91,7 @@ def unstage(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._staged_at)
 
 
-def write_bucketed(df: DataFrame, keys: list[str], name: str, order: bool = True, **options) -> tuple[str, str]:
+def write_bucketed(df: DataFrame, keys: list[str], name: str, order: bool = True, flat: bool = False, **options) -> tuple[str, str]:
     """(table, path): a table of the session's catalogue, bucketed (and sorted) by
     keys in as many buckets as shuffles have partitions, below the shared folder.
     Joins on the keys read it as it lies."""
@@ -85,7 +100,8 @@ def write_bucketed(df: DataFrame, keys: list[str], name: str, order: bool = True
     table = path.rsplit("/", 1)[1].replace("-", "_")
     writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
     writer = writer.sortBy(*keys) if order else writer
-    writer.options(**({"compression": "zstd"} | options)).option("path", path).format("parquet").saveAsTable(table)
+    with _arrays(spark, flat):
+        writer.options(**({"compression": "zstd"} | options)).option("path", path).format("parquet").saveAsTable(table)
     return table, path
 
 

@@ -38,7 +38,7 @@ GROUPS = 1 << 14
 PARITIES = 16
 NULL_ID = (1 << 63) - 1
 #: Of tables of hashes, whose values hardly repeat.
-HASHES = {"compression": "snappy", "parquet.enable.dictionary": "false"}
+HASHES = {"flat": True, "compression": "snappy", "parquet.enable.dictionary": "false"}
 #: Bits of a line's place that its locator holds; the others name the document.
 PLACE = 20
 #: 32-bit masks: the golden ratio's multiples, spread over the hash's range.
@@ -84,7 +84,9 @@ def split_lines(docs: DataFrame) -> DataFrame:
     """``d, t, line_no, line, a, b``: the lines that are not blank, with two hashes
     that together name the text; d is the doc_id, null ids last, t the row's key."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
-    lines = docs.select(own, document_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.ltrim("line", F.lit(BLANKS)) != "")
+    # keys first: made beside the split, they would be made of the whole text for each line
+    keyed = docs.select(own, document_key().alias("t"), "text")
+    lines = keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.ltrim("line", F.lit(BLANKS)) != "")
     return lines.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(7), "line")})
 
 
@@ -150,12 +152,12 @@ class ShingleSets:
         drop_table(self.spark, self.table, self.path)
 
 
-def verified(pairs: DataFrame, sets: ShingleSets) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (id, p) those whose lines are similar by the exact Jaccard
-    similarity of their shingle sets, staged. In whole numbers: of n shingles in both
+    similarity of their shingle ``sets`` (id, set), staged. In whole numbers: of n shingles in both
     sets together, 4 n / 9 at least are shared: those of one that it doesn't have alone."""
-    y = sets.read().select(F.col("id").alias("p"), F.col("set").alias("y"))
-    read = pairs.select("id", "p").join(sets.read().select("id", F.col("set").alias("x")), "id").join(y, "p")
+    y = sets.select(F.col("id").alias("p"), F.col("set").alias("y"))
+    read = pairs.select("id", "p").join(sets.select("id", F.col("set").alias("x")), "id").join(y, "p")
     least = 4 * (F.size("x") + F.size("y"))
     shared = F.size("x") - F.size(F.array_except("x", "y"))
     similar = (9 * F.least(F.size("x"), F.size("y")) >= least) & (9 * shared >= least)
@@ -166,13 +168,18 @@ def candidates(shared: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct pairs (id, p) of lines that share a band and agree enough, staged;
     ``star`` marks those with the least line of a band."""
     signed = stage(lines.select("id", "sig").join(shared.hint("shuffle_hash"), "id"), "signed", **HASHES)
-    agree = reduce(add, [(F.col("sig")[i] == F.col("other")[i]).cast("int") for i in range(len(MASKS))]) >= AGREE
-    x, y = signed.alias("x"), signed.select("band", F.col("id").alias("p"), F.col("sig").alias("other"))
-    few = x.where(F.col("n") <= SMALL).join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") < F.col("p")) & agree)
+    def agree(x: Column, y: Column) -> Column:
+        return reduce(add, [(x[i] == y[i]).cast("int") for i in range(len(MASKS))]) >= AGREE
+
+    # both sides need the same columns of the same rows, which are dealt once for both
+    x = signed.where(F.col("n") <= SMALL).select("band", "low", "id", "sig")
+    both = (F.col("x.band") == F.col("y.band")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.id") < F.col("y.id"))
+    few = x.alias("x").join(x.alias("y"), both & agree(F.col("x.sig"), F.col("y.sig")))
+    few = few.select(F.col("x.id").alias("id"), F.col("y.id").alias("p"), F.col("x.low").alias("low"))
     large = signed.where(F.col("n") > SMALL)
     pivots = large.groupBy("band", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("part")).agg(F.min("id").alias("p"))
-    pivots = pivots.select("band", "p").join(y, ["band", "p"])
-    many = large.alias("x").join(pivots.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") != F.col("p")) & agree)
+    pivots = pivots.select("band", "p").join(large.select("band", F.col("id").alias("p"), F.col("sig").alias("other")), ["band", "p"])
+    many = large.alias("x").join(pivots.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("id") != F.col("p")) & agree(F.col("sig"), F.col("other")))
     met = [part.select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p"), (F.least("id", "p") == F.col("low")).alias("star")) for part in (few, many)]
     pairs = stage(met[0].unionAll(met[1]).groupBy("id", "p").agg(F.max("star").alias("star")), "likely")
     unstage(signed)
@@ -216,7 +223,8 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     ``SMALL`` lines have left. The documents are opened once.
     """
     spark = docs.sparkSession
-    rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    # dealt once for both: nearly all bands have one line, so that counts before would not shrink them
+    rows = lines.select("id", F.explode(bands(F.col("sig"))).alias("band")).repartition("band")
     counted = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
     shared = stage(rows.join(counted.hint("shuffle_hash"), "band"), "bands", **HASHES)
     release(spark)
@@ -226,20 +234,20 @@ def similar_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     release(spark)
     ends = pairs.select("id").unionAll(pairs.select("p")).unionAll(large.select("id")).distinct()
     sets = ShingleSets(docs, lines.select("id", "a", "b", "loc").join(ends.hint("shuffle_hash"), "id"))
-    first = verified(pairs.where("star"), sets)
-    rest = verified(with_roots(pairs.where("NOT star"), two_hops(first)).where("c != pc"), sets)
+    first = verified(pairs.where("star"), sets.read())
+    rest = verified(with_roots(pairs.where("NOT star"), two_hops(first)).where("c != pc"), sets.read())
     tree = connected_components(first.unionAll(rest), "id", "p")
     unstage(pairs)
-    tree = joined(tree, verified(crowded(large, tree, sets), sets))
+    tree = joined(tree, crowded(large, tree, sets.read()))
     unstage(large)
     sets.drop()
     release(spark)
     return tree
 
 
-def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
-    """Distinct pairs (id, p) of lines of large bands (band, id) that may be similar
-    and that are of different components, staged. None is missed.
+def crowded(large: DataFrame, tree: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (id, p) of similar lines of large bands (band, id) that are of
+    different components, staged. None is missed.
 
     Bands whose lines are all of one component have nothing left. A line of n shingles
     shares 0.8 n of them at least with any similar line, so if both order their shingles
@@ -256,7 +264,7 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     named = large.join(tree, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
     open_bands = named.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("band")
     known = stage(named.join(open_bands, "band", "left_semi").select("id", "c").distinct(), "crowd")
-    every = stage(known.join(sets.read(), "id").select("id", "c", "set"), "crowd-sets", **HASHES)
+    every = stage(known.join(sets, "id").select("id", "c", "set"), "crowd-sets", **HASHES)
     shingles = every.select("id", F.explode("set").alias("h"))
     # at most GROUPS numbers
     often = {r.g: r.n for r in shingles.groupBy(F.pmod("h", F.lit(GROUPS)).alias("g")).agg(F.count("*").alias("n")).collect()}
@@ -265,7 +273,8 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
     words = [f"b{i}" for i in range(PARITIES)]
     parity = shingles.groupBy("id").agg(*[F.bit_xor(F.when(F.pmod("h", F.lit(PARITIES)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)])
     # weight and hash in one number, as numbers are sorted faster than structs
-    ordered = F.sort_array(F.transform("set", lambda h: F.shiftleft(F.get(weights, F.pmod(h, F.lit(GROUPS))), 32).bitwiseOR(h.cast("long") + (1 << 31))))
+    # never null, or else they would be sorted as objects
+    ordered = F.sort_array(F.transform("set", lambda h: F.coalesce(F.shiftleft(F.get(weights, F.pmod(h, F.lit(GROUPS))), 32).bitwiseOR(h.cast("long") + (1 << 31)), F.lit(0).cast("long"))))
     sized = every.select("id", "c", F.size("set").alias("n"), ordered.alias("hs"))
     length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - slack).cast("int") + 1
     heads = stage(sized.select("id", "c", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "e")).select("id", "c", "n", "at", F.expr("CAST((e & 4294967295) - 2147483648 AS INT)").alias("h")), "heads")
@@ -281,9 +290,11 @@ def crowded(large: DataFrame, tree: DataFrame, sets: ShingleSets) -> DataFrame:
         & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * size + slack)
     )
     pairs = stage(x.join(y, met).select(F.least("id", "p").alias("id"), F.greatest("id", "p").alias("p")).distinct(), "crowded")
-    for used in (known, every, heads, split):
+    # the sets of these lines alone are read, not all that there are
+    links = verified(pairs, every.select("id", "set"))
+    for used in (known, every, heads, split, pairs):
         unstage(used)
-    return pairs
+    return links
 
 
 def shared_heads(heads: DataFrame) -> DataFrame:

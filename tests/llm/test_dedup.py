@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -242,6 +244,41 @@ def test_lines_are_counted_whether_or_not_they_leave(spark):
     assert [(r.n_lines, r.n_removed, r.text) for r in got] == [(3, 0, f"{line}\n\n"), (5, 2, "é\n\n"), (3, 0, "\n\n"), (1, 0, ""), (0, 0, None)]
 
 
+def test_line_keys_are_made_once_for_each_text(spark):
+    """A key is a hash of the whole text: made for each line, its cost is the square of the text's."""
+    plan = lines.split_lines(frame(spark, [(1, "a\nb", "", "", 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan[plan.index("Generate") :]
+    assert "xxhash64(cast(doc_id" in generate or "xxhash64(doc_id" in generate
+    carried = plan[: plan.index("Generate")]
+    assert "xxhash64(doc_id" not in carried and "text" not in carried
+
+
+def test_numbers_of_staged_arrays_have_two_levels(spark, tmp_path):
+    """What is staged flat comes back as it was, and the session's setting too."""
+    key = "spark.sql.parquet.writeLegacyFormat"
+    before = spark.conf.get(key)
+    df = spark.range(5).select("id", F.expr("sequence(0, CAST(id AS INT))").alias("x"), F.expr("array(IF(id > 2, id, NULL))").alias("y"), F.expr("slice(array(1), 2, 1)").alias("z"))
+    paths = {}
+    for flat in (False, True):
+        staged = stage(df, "test-flat", flat=flat)
+        assert sorted(staged.collect()) == sorted(df.collect())
+        paths[flat] = next(Path(staged._staged_at.removeprefix("file:")).glob("*.parquet"))
+    names = {flat: pq.ParquetFile(path).schema.column(1).path for flat, path in paths.items()}
+    assert names == {False: "x.list.element", True: "x.array"} and spark.conf.get(key) == before
+
+
+def test_line_pairs_of_crowds_are_verified_by_their_own_sets(spark):
+    """What comes back is similar, and was found without the sets of other lines."""
+    rng = random.Random(4)
+    near, far = (sorted(rng.sample(range(-(1 << 30), 1 << 30), 40)) for _ in range(2))
+    rows = [(1, near), (2, near[:-1] + [7]), (3, far), (4, far[:20] + near[:20])]
+    sets = spark.createDataFrame(rows, "id long, set array<int>")
+    large = spark.createDataFrame([(7, i) for i, _ in rows], "band long, id long")
+    tree = spark.createDataFrame([], "node long, component long")
+    links = lines.crowded(large, tree, sets)
+    assert [tuple(r) for r in links.select("id", "p").collect()] == [(1, 2)]
+
+
 def brute_simhash(text):
     words = (text or "").encode().lower().split()
     if not words:
